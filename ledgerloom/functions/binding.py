@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,12 @@ def first_of(values: Column, keep: Callable[[Column], Column] | None = None) ->
 def found(text: Column, regex: str, group: int = 1) -> Column:
     """First capture of ``regex``; NULL (not an empty string) on a miss."""
     return F.nullif(F.regexp_extract(text, regex, group), F.lit(""))
+
+
+def settle(rows: DataFrame) -> DataFrame:
+    """Finish the columns here, so that no later filter copies their expressions.
+
+    A generator over a one-element array returns the same rows; predicates and
+    projections above it then work on plain columns.
+    """
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import contract_amount
+from ledgerloom.functions.binding import settle
 from ledgerloom.functions.text import trim_blank
 from ledgerloom.operators.rules import AGGREGATE_LINE
 
@@ -80,10 +81,10 @@ def check_contract(payloads: DataFrame, key: str = "doc_id") -> DataFrame:
         ])).alias("supplier"),
         F.transform("items", item).alias("items"),
     )
-    return check_values(coerced, key)
+    return check_values(settle(coerced))
 
 
-def check_values(coerced: DataFrame, key: str = "doc_id") -> DataFrame:
+def check_values(coerced: DataFrame) -> DataFrame:
     """Contract rules over already typed payloads."""
     c = F.col
     has_due = c("_has_due") if "_has_due" in coerced.columns else c("due_date").isNotNull()
@@ -118,7 +119,7 @@ def check_values(coerced: DataFrame, key: str = "doc_id") -> DataFrame:
         rule("due_before_issue", c("due_date") < c("issue_date")),
     ))
     return (
-        coerced.withColumn("violations", violations)
+        settle(coerced.withColumn("violations", violations))
         .withColumn("is_valid", F.size("violations") == 0)
         .drop("_has_due")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import latam_amount
-from ledgerloom.functions.binding import first_of, found, let
+from ledgerloom.functions.binding import first_of, found, let, settle
 from ledgerloom.functions.dates import parse_date
 from ledgerloom.functions.text import lines_of, normalize_text
 from ledgerloom.operators import rules as R
@@ -447,19 +447,10 @@ def extract(docs: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, text: str =
     money = add_amounts(found_fields, rules).withColumn("_cur", currency_of(F.col("norm"))).select(
         "*", F.col("_cur.code").alias("currency"), F.col("_cur.confident").alias("currency_confident")
     ).drop("_cur")
-    rows = _settle(add_items(money, rules).drop("norm", "lines", text))
+    rows = settle(add_items(money, rules).drop("norm", "lines", text))
     return route_extraction(rows)
 
 
-def _settle(rows: DataFrame) -> DataFrame:
-    """Keep the optimizer from copying the field expressions into later filters.
-
-    A generator over a one-element array gives the same rows; predicates and
-    projections above it work on finished columns.
-    """
-    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
-
-
 def extraction_report(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     """Long report: one row per document and field with status and winning pattern."""
     c = F.col

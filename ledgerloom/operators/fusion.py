@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import settle
 from ledgerloom.operators.contract import check_values
 from ledgerloom.operators.extract import aggregate_item, extract
 from ledgerloom.operators.rules import DEFAULT_RULES, REQUIRED_FIELDS, Rule
@@ -75,7 +76,7 @@ def fuse_fallback(rules: DataFrame, fallback: DataFrame, key: str = "doc_id") ->
         *[field(n).alias(n) for n in FIELDS],
         origin("money").alias("money_from"), origin("items").alias("items_from"),
     )
-    return check_values(merged, key).withColumn(
+    return check_values(settle(merged)).withColumn(
         "outcome",
         F.when(F.col("_replaced"), F.lit("fallback"))
         .when(F.col("_partial") & F.col("is_valid"), F.lit("merged"))
@@ -135,7 +136,7 @@ def fuse_sources(
     missing = F.array_compact(F.array(*[
         F.when(~present.get(f, F.col(f).isNotNull()), F.lit(f)) for f in REQUIRED_FIELDS
     ]))
-    checked = check_values(rows, key)
+    checked = check_values(settle(rows))
     outcome = (
         F.when(F.col("_settled").isNotNull(), F.col("_settled"))
         .when(F.col("_empty"), F.lit("NONE"))

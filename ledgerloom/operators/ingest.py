@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import settle
 from ledgerloom.functions.text import safe_filename, trim_blank
 
 # Limits, formats and signatures.
@@ -69,9 +70,9 @@ def audit_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
         .withColumn("extension", extension)
         .withColumn("mime", F.lower(mime))
         .withColumn("format", signature(c("content")))
-        .withColumn("family", _family(c("format")))
         .drop("content")
     )
+    checked = settle(checked).withColumn("family", _family(c("format")))
     reason = (
         F.when(c("size_bytes") > max_bytes, F.lit("too_large"))
         .when(c("size_bytes") == 0, F.lit("empty"))
@@ -87,7 +88,7 @@ def audit_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
         .when(c("reason").isNotNull(), F.lit("invalid_file"))
     )
     return (
-        checked.withColumn("reason", reason)
+        settle(checked.withColumn("reason", reason))
         .withColumn("error_code", code)
         .withColumn("document_type", F.when(c("reason").isNull(), c("family")))
         .withColumn("mime_type", F.when(

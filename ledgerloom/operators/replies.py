@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.binding import let
+from ledgerloom.functions.binding import let, settle
 from ledgerloom.functions.text import trim_blank
 from ledgerloom.schemas import PAYLOAD_DDL
 
@@ -35,11 +35,12 @@ def recover_json(replies: DataFrame) -> DataFrame:
         inner = F.substring(t, first, last - first + 1)
         return F.when((first > 0) & t.contains("}") & (last > first), inner)
 
+    read = replies.withColumn("reply", text).withColumn("body", bare)
+    tried = settle(read).withColumn(
+        "body", F.when(_is_json(body), body).otherwise(let(cut(body), lambda t: F.when(_is_json(t), t)))
+    )
     return (
-        replies.withColumn("reply", text)
-        .withColumn("body", bare)
-        .withColumn("body", F.when(_is_json(body), body).otherwise(
-            let(cut(body), lambda t: F.when(_is_json(t), t))))
+        settle(tried)
         .withColumn("outcome", F.when(body.isNull(), F.lit("malformed"))
                     .when(F.startswith(F.ltrim(body), F.lit("{")), F.lit("object"))
                     .otherwise(F.lit("not_object")))
@@ -52,4 +53,4 @@ def payloads(recovered: DataFrame, key: str = "doc_id") -> DataFrame:
     """Recovered objects read with the payload schema (unknown keys drop out)."""
     return recovered.filter("outcome = 'object'").select(
         key, F.from_json("json", PAYLOAD_DDL).alias("p")
-    ).select(key, "p.*")
+    ).transform(settle).select(key, "p.*")
