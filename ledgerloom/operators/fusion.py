@@ -127,7 +127,8 @@ def fuse_sources(
     for n in FIELDS[1:]:
         empty = empty & F.col(n).isNull()
     subtotal = F.col("money.subtotal")
-    rows = rows.withColumn("_empty", empty & F.col("_settled").isNull()).withColumn(
+    rows = rows.withColumn("_empty", empty & F.col("_settled").isNull()).withColumn("_own", F.col("items"))
+    rows = rows.withColumn(
         "items",
         F.when(F.col("items").isNull() & subtotal.isNotNull(),
                aggregate_item(subtotal, F.col("money.tax")).cast(ITEMS)).otherwise(F.col("items")),
@@ -143,9 +144,11 @@ def fuse_sources(
         .when(F.col("is_valid"), F.lit("FULL"))
         .otherwise(F.lit("PARTIAL"))
     )
-    return checked.withColumn("outcome", outcome).withColumn(
-        "missing_fields", F.when(outcome == "PARTIAL", missing).otherwise(F.array().cast("array<string>"))
-    ).drop("_settled", "_empty")
+    # An incomplete union is handed on without the synthesised line.
+    return checked.withColumn("outcome", outcome).withColumns({
+        "missing_fields": F.when(outcome == "PARTIAL", missing).otherwise(F.array().cast("array<string>")),
+        "items": F.when(outcome == "PARTIAL", F.col("_own")).otherwise(F.col("items")),
+    }).drop("_settled", "_empty", "_own")
 
 
 def _with_carry(rows: DataFrame, keep: list[str], rules: tuple[Rule, ...], key: str) -> DataFrame:

@@ -461,8 +461,8 @@ def reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice texts split over the embedded and the OCR layer of a document.
 
-    By id: 0 whole text embedded, 1 whole text by OCR, 2 cut in two halves with
-    the total in the OCR half, 3 both layers empty of fields.
+    By id: 0 whole text embedded, 1 whole text by OCR, 2 cut in two with the
+    total (and another number) in the OCR part, 3 both layers empty of fields.
     """
     texts = invoice_texts(spark, sf_dir)
     k = F.col("doc_id")
@@ -475,6 +475,8 @@ def two_source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(way == 2, F.when(at > 1, F.left("text", at - 1)).otherwise(F.col("text")))
         .otherwise(nothing).alias("embedded_text"),
         F.when(way == 0, F.lit("")).when(way == 1, F.col("text"))
-        .when(way == 2, F.when(at > 1, F.substring("text", at, F.length("text"))).otherwise(F.lit("")))
+        .when(way == 2, F.when(at > 1, F.concat(
+            F.substring("text", at, F.length("text")), F.lit("\nREFERENCIA DE PAGO: "),
+            (F.lit(5000000000) + k).cast("string"))).otherwise(F.lit("")))
         .otherwise(nothing).alias("ocr_text"),
     )
