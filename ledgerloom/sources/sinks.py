@@ -6,23 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_files(spark: SparkSession, path: str, declared: DataFrame | None = None) -> DataFrame:
+def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """Files of a folder tree in the shape ``audit_files`` reads.
 
-    ``declared`` may bring declared MIME types: (filename, declared_mime).
+    Spark's file source passes over files without a single byte. A manifest
+    (filename, declared_mime) of what was sent brings those back as empty files
+    and adds the declared types; without one they cannot be seen.
     """
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .select(
-            F.xxhash64("path").alias("doc_id"),
             F.substring_index("path", "/", -1).alias("filename"),
             F.col("modificationTime").alias("received_at"),
             "content",
         )
     )
-    if declared is None:
-        return found.withColumn("declared_mime", F.lit(None).cast("string"))
-    return found.join(declared, "filename", "left")
+    if manifest is None:
+        rows = found.withColumn("declared_mime", F.lit(None).cast("string"))
+    else:
+        rows = found.join(manifest.select("filename", "declared_mime"), "filename", "full")
+    return rows.select(
+        F.xxhash64("filename").alias("doc_id"), "filename", "declared_mime", "received_at",
+        F.coalesce("content", F.lit(b"")).alias("content"),
+    )
 
 
 def write_dated(rows: DataFrame, path: str, stamp: str = "created_at", mode: str = "append") -> None:
