@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,3 +35,21 @@ def settle(rows: DataFrame) -> DataFrame:
     projections above it then work on plain columns.
     """
     return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expressions a builder makes, per application and arguments.
+
+    An expression only names its columns, so it can serve any number of plans;
+    building the larger ones anew takes hundreds of calls into the JVM.
+    """
+    kept: dict[tuple, Column] = {}
+
+    @wraps(build)
+    def expression(*args) -> Column:
+        key = (SparkSession.active().sparkContext.applicationId, *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return expression

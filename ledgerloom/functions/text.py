@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import built_once
+
 # Every line separator the source system recognises.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 _BLANK = r"[\s\x1C-\x1F]"
@@ -21,6 +24,7 @@ _MARKS_TO = "---''\"\""
 _LETTER_RUNS = r"([LRSC])\1{2,}|([ABD-KM-QT-Z])\2+"
 
 
+@lru_cache
 def _combining_marks() -> str:
     return "".join(chr(c) for c in range(0x300, 0x110000) if unicodedata.combining(chr(c)))
 
@@ -50,9 +54,14 @@ def normalize_text(text: Column) -> Column:
     return F.regexp_replace(trimmed, _LETTER_RUNS, "$1$2")
 
 
+@built_once
+def normalized(name: str) -> Column:
+    return normalize_text(F.col(name))
+
+
 def with_normalized(docs: DataFrame, text: str = "text", out: str = "norm") -> DataFrame:
     """Add the canonical text as its own projection (evaluated once per row)."""
-    return docs.withColumn(out, normalize_text(F.col(text)))
+    return docs.withColumn(out, normalized(text))
 
 
 def lines_of(norm: Column) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import latam_amount
-from ledgerloom.functions.binding import first_of, found, let, settle
+from ledgerloom.functions.binding import built_once, first_of, found, let, settle
 from ledgerloom.functions.dates import parse_date
-from ledgerloom.functions.text import lines_of, normalize_text
+from ledgerloom.functions.text import lines_of, normalized
 from ledgerloom.operators import rules as R
 from ledgerloom.operators.rules import DEFAULT_RULES, Rule, rules_for
 from ledgerloom.schemas import AMOUNT
@@ -29,7 +29,7 @@ def canonical(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``norm`` and ``lines``; the three internal mark characters are moved away."""
     norm = F.col("norm")
     return (
-        docs.withColumn("norm", normalize_text(F.col(text)))
+        docs.withColumn("norm", normalized(text))
         .withColumn(
             "norm",
             F.when(norm.rlike("[\\x01-\\x03]"), F.translate(norm, _AT + _SEP + _END, "\x04\x05\x06"))
@@ -246,46 +246,60 @@ def _named_tax_id(lines: Column) -> Column:
     return first_of(F.transform(lines, at_line), lambda h: h["name"].isNotNull())
 
 
-def with_supplier(docs: DataFrame) -> DataFrame:
-    """Add ``supplier`` (name, tax_id), ``supplier_pattern`` and ``tax_id_pattern``."""
+@built_once
+def _issuer() -> Column:
+    return F.trim(found(F.col("norm"), R.ISSUER))
+
+
+@built_once
+def _first_company() -> Column:
+    return first_of(F.transform(F.slice("lines", 1, R.COMPANY_LINES), _company_on_line))
+
+
+@built_once
+def _first_named_tax_id() -> Column:
+    return _named_tax_id(F.col("lines"))
+
+
+@built_once
+def _first_tax_id() -> Column:
     norm, lines = F.col("norm"), F.col("lines")
-    issuer, company, anchored = F.col("_issuer"), F.col("_company"), F.col("_anchored")
     own_text = F.when(
         norm.rlike(R.PLATFORM), F.array_join(F.filter(lines, lambda x: ~_is_platform(x)), "\n")
     ).otherwise(norm)
-    name = F.col("_name")
-    placeholder = F.concat(
-        F.lit(R.NO_TAX_ID_PREFIX),
-        F.coalesce(
-            F.nullif(F.left(F.regexp_replace(name, "[^A-Z0-9]", ""), F.lit(6)), F.lit("")),
-            F.lit("UNKNOWN"),
-        ),
+    return found(own_text, R.TAX_ID)
+
+
+def _placeholder_id(name: Column) -> Column:
+    letters = F.left(F.regexp_replace(name, "[^A-Z0-9]", ""), F.lit(6))
+    return F.concat(F.lit(R.NO_TAX_ID_PREFIX), F.coalesce(F.nullif(letters, F.lit("")), F.lit("UNKNOWN")))
+
+
+def with_supplier(docs: DataFrame) -> DataFrame:
+    """Add ``supplier`` (name, tax_id), ``supplier_pattern`` and ``tax_id_pattern``.
+
+    Issuer label, else company line, else the name next to a tax-id line; each
+    is looked for only where the ones before found nothing.
+    """
+    issuer, company, anchored = F.nullif("_issuer", F.lit("")), F.col("_company"), F.col("_anchored")
+    name, printed = F.col("_name"), F.col("_printed_id")
+    pattern = (
+        F.when(issuer.isNotNull(), F.lit(R.ISSUER_NAME))
+        .when(company.isNotNull(), F.lit(R.COMPANY_NAME)).otherwise(F.lit(R.NEAR_TAX_ID_NAME))
     )
     return (
-        docs.withColumn("_issuer", F.trim(found(norm, R.ISSUER)))
-        .withColumn("_company", F.when(
-            issuer.isNull(),
-            first_of(F.transform(F.slice(lines, 1, R.COMPANY_LINES), _company_on_line)),
-        ))
-        .withColumn("_anchored", F.when(
-            F.coalesce(F.nullif(issuer, F.lit("")), company).isNull(), _named_tax_id(lines)
-        ))
-        .withColumn("_name", F.coalesce(
-            F.nullif(issuer, F.lit("")), company, F.nullif(anchored["name"], F.lit(""))
-        ))
+        docs.withColumn("_issuer", _issuer())
+        .withColumn("_company", F.when(F.col("_issuer").isNull(), _first_company()))
+        .withColumn("_anchored", F.when(F.coalesce(issuer, company).isNull(), _first_named_tax_id()))
+        .withColumn("_name", F.coalesce(issuer, company, F.nullif(anchored["name"], F.lit(""))))
         .withColumn("_printed_id", F.when(
-            name.isNotNull(), F.coalesce(anchored["tax_id"], found(own_text, R.TAX_ID))
-        ))
-        .withColumn("supplier", F.when(name.isNotNull(), F.struct(
-            name.alias("name"), F.coalesce(F.col("_printed_id"), placeholder).alias("tax_id")
-        )))
-        .withColumn("supplier_pattern", F.when(
-            name.isNotNull(),
-            F.when(F.nullif(issuer, F.lit("")).isNotNull(), F.lit(R.ISSUER_NAME))
-            .when(company.isNotNull(), F.lit(R.COMPANY_NAME))
-            .otherwise(F.lit(R.NEAR_TAX_ID_NAME)),
-        ))
-        .withColumn("tax_id_pattern", F.when(F.col("_printed_id").isNotNull(), F.lit(R.TAX_ID_NAME)))
+            name.isNotNull(), F.coalesce(anchored["tax_id"], _first_tax_id())))
+        .withColumns({
+            "supplier": F.when(name.isNotNull(), F.struct(
+                name.alias("name"), F.coalesce(printed, _placeholder_id(name)).alias("tax_id"))),
+            "supplier_pattern": F.when(name.isNotNull(), pattern),
+            "tax_id_pattern": F.when(printed.isNotNull(), F.lit(R.TAX_ID_NAME)),
+        })
         .drop("_issuer", "_company", "_anchored", "_name", "_printed_id")
     )
 
@@ -328,60 +342,78 @@ def aggregate_item(subtotal: Column, tax: Column) -> Column:
 
 
 # ------------------------------------------------------------------ whole row
-def add_number(docs, rules):
-    return docs.withColumn("_n", number_hit(F.col("norm"), rules)).select(
-        "*", F.col("_n.value").alias("number"), F.col("_n.pattern").alias("number_pattern")
-    ).drop("_n")
+@built_once
+def _number(rules: tuple[Rule, ...]) -> Column:
+    return number_hit(F.col("norm"), rules)
 
 
-def add_dates(docs, rules):
-    norm, lines = F.col("norm"), F.col("lines")
-    anywhere = F.array(_candidate(F.left(norm, F.lit(R.ANY_DATE_CHARS)), R.ANY_DATE_NAME))
-    issue = F.concat(date_candidates(norm, lines, rules, "issue_date"), anywhere)
-    return (
-        docs.withColumn("_i", date_hit(issue))
-        .withColumn("_d", date_hit(date_candidates(norm, lines, rules, "due_date")))
-        .select(
-            "*",
-            F.col("_i.value").alias("issue_date"), F.col("_i.pattern").alias("issue_date_pattern"),
-            F.col("_d.value").alias("due_date"), F.col("_d.pattern").alias("due_date_pattern"),
-        )
-        .drop("_i", "_d")
-    )
+@built_once
+def _date(rules: tuple[Rule, ...], field: str) -> Column:
+    candidates = date_candidates(F.col("norm"), F.col("lines"), rules, field)
+    if field == "issue_date":
+        head = F.left("norm", F.lit(R.ANY_DATE_CHARS))
+        candidates = F.concat(candidates, F.array(_candidate(head, R.ANY_DATE_NAME)))
+    return date_hit(candidates)
 
 
-def add_amounts(docs, rules):
-    norm = F.col("norm")
-    hits = docs
-    for field in ("total", "tax", "subtotal"):
-        hits = hits.withColumn(f"_{field}", amount_hit(norm, rules, field))
-    printed = hits.select(
-        "*",
-        F.col("_total.value").alias("total"), F.col("_total.pattern").alias("total_pattern"),
-        F.coalesce(F.col("_tax.value"), F.lit(0).cast(AMOUNT)).alias("tax"),
-        F.col("_tax.pattern").alias("tax_pattern"),
-        F.col("_subtotal.value").alias("printed_subtotal"),
-        F.col("_subtotal.pattern").alias("printed_subtotal_pattern"),
-    ).drop("_total", "_tax", "_subtotal")
-    return reconcile_subtotal(printed)
+@built_once
+def _amount(rules: tuple[Rule, ...], field: str) -> Column:
+    return amount_hit(F.col("norm"), rules, field)
+
+
+@built_once
+def _currency() -> Column:
+    return currency_of(F.col("norm"))
+
+
+@built_once
+def _item_rows(rule: Rule) -> Column:
+    return item_rows(F.col("norm"), rule)
+
+
+def _add_hits(docs: DataFrame, hits: dict[str, Column]) -> DataFrame:
+    """Each hit as two columns: the value and ``<name>_pattern``."""
+    held = docs.withColumns({f"_{name}": hit for name, hit in hits.items()})
+    parts = [
+        F.col(f"_{name}.{part}").alias(name + suffix)
+        for name in hits for part, suffix in (("value", ""), ("pattern", "_pattern"))
+    ]
+    return held.select("*", *parts).drop(*[f"_{name}" for name in hits])
+
+
+def add_number(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    return _add_hits(docs, {"number": _number(rules)})
+
+
+def add_dates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    return _add_hits(docs, {f: _date(rules, f) for f in ("issue_date", "due_date")})
+
+
+def add_amounts(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Total, tax (0 by default) and the subtotal reconciled with both."""
+    fields = {"total": "total", "tax": "tax", "printed_subtotal": "subtotal"}
+    hits = _add_hits(docs, {name: _amount(rules, field) for name, field in fields.items()})
+    return reconcile_subtotal(hits.withColumn("tax", F.coalesce("tax", F.lit(0).cast(AMOUNT))))
 
 
 def reconcile_subtotal(rows: DataFrame) -> DataFrame:
     """Replace a missing or inexact subtotal by total - tax when a total is known."""
     total, tax, printed = F.col("total"), F.col("tax"), F.col("printed_subtotal")
+    derived = F.col("subtotal_derived")
     derive = total.isNotNull() & (printed.isNull() | (printed + tax != total))
     return (
-        rows.withColumn("subtotal_derived", derive)
-        .withColumn("subtotal", F.when(derive, (total - tax).cast(AMOUNT)).otherwise(printed))
-        .withColumn("subtotal_pattern", F.when(derive, F.lit(R.DERIVED_SUBTOTAL))
-                    .otherwise(F.col("printed_subtotal_pattern")))
+        rows.withColumn("subtotal_derived", derive).withColumns({
+            "subtotal": F.when(derived, (total - tax).cast(AMOUNT)).otherwise(printed),
+            "subtotal_pattern": F.when(derived, F.lit(R.DERIVED_SUBTOTAL))
+            .otherwise(F.col("printed_subtotal_pattern")),
+        })
     )
 
 
 def add_items(docs, rules):
     rule = rules_for(rules, "items")[0]
     subtotal, rows = F.col("subtotal"), F.col("item_rows")
-    return docs.withColumn("item_rows", item_rows(F.col("norm"), rule)).withColumn(
+    return docs.withColumn("item_rows", _item_rows(rule)).withColumn(
         "items",
         F.when(F.size(rows) > 0, rows)
         .when(subtotal > 0, aggregate_item(subtotal, F.col("tax")))
@@ -444,7 +476,7 @@ def extract(docs: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, text: str =
     """
     rules = tuple(rules)
     found_fields = add_dates(add_number(with_supplier(canonical(docs, text)), rules), rules)
-    money = add_amounts(found_fields, rules).withColumn("_cur", currency_of(F.col("norm"))).select(
+    money = add_amounts(found_fields, rules).withColumn("_cur", _currency()).select(
         "*", F.col("_cur.code").alias("currency"), F.col("_cur.confident").alias("currency_confident")
     ).drop("_cur")
     rows = settle(add_items(money, rules).drop("norm", "lines", text))

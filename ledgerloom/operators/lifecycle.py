@@ -90,10 +90,10 @@ def _step(machine: Machine, acc: Column, event: Column) -> Column:
 
 
 def _fold_piece(machine: Machine, events: Column) -> Column:
-    return F.array(*[
-        F.aggregate(events, _identity(s), lambda acc, e: _step(machine, acc, e))
-        for s in range(len(machine.states))
-    ])
+    starts = F.array(*[_identity(s) for s in range(len(machine.states))])
+    return F.transform(
+        starts, lambda start: F.aggregate(events, start, lambda acc, e: _step(machine, acc, e))
+    )
 
 
 def _then(first: Column, second: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.binding import built_once
 from ledgerloom.operators.numbering import dense_position
 from ledgerloom.schemas import MONEY, QUANTITY
 from ledgerloom.sources.tables import load
@@ -219,6 +220,12 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("invoice_id", F.array_join(F.col("bs.b"), "\n").alias("blocks"))
     )
     head = _invoice_head(cents, spark, sf_dir).join(blocks, "invoice_id", "left")
+    return head.select(F.col("invoice_id").alias("doc_id"), _printed_invoice().alias("text"))
+
+
+@built_once
+def _printed_invoice() -> Column:
+    """The text of an invoice row, by its layout."""
     k = F.col("invoice_id")
     big = (F.lit(10000) + k).cast("string")
     net, tax = F.col("net_c"), F.col("tax_c")
@@ -286,7 +293,7 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(k % LAYOUTS == 0, layouts[0])
     for n, layout in enumerate(layouts[1:], start=1):
         body = body.when(k % LAYOUTS == n, layout)
-    return head.select(k.alias("doc_id"), body.alias("text"))
+    return body
 
 
 # ------------------------------------------------------------- files and pages
