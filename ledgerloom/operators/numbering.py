@@ -11,13 +11,15 @@ def dense_position(
 ) -> DataFrame:
     """Number the rows of each key from 0 in the order (bucket, *order).
 
-    ``order`` must name every other column that is kept. Equal rows are counted
+    Rows without a key have no position. ``order`` must name every other column that is kept. Equal rows are counted
     before the shuffle, each (key, bucket) is numbered apart, and the buckets
     are shifted by the sizes of those before them, so a key with a third of all
     rows is spread over as many tasks as it has buckets.
     """
+    # Without NULLs in the bucket both uses below share one exchange.
     counted = (
-        rows.withColumn("_bucket", bucket)
+        rows.filter(F.col(key).isNotNull())
+        .withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
         .groupBy(key, "_bucket", *order)
         .agg(F.count("*").alias("_copies"))
     )
@@ -31,6 +33,7 @@ def dense_position(
         .select(key, "_bucket", "_shift")
     )
     first = F.col("_shift") + F.col("_start")
-    return numbered.join(shifts, [key, "_bucket"]).select(
+    # Merge, never broadcast: file sizes make the numbered side look small.
+    return numbered.join(shifts.hint("merge"), [key, "_bucket"]).select(
         key, *order, F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias(out)
     )

@@ -19,9 +19,9 @@ def build_session(app: str = "ledgerloom", cpus: int | str = "*", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
-        # The text rules cost far more per row than the rows weigh: keep small
-        # post-shuffle partitions apart instead of merging them for one core.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # One partition per core here, and text rules cost far more per row than
+        # the rows weigh: nothing to merge. A cluster keeps AQE's merging.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in conf.items():
