@@ -8,11 +8,14 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.binding import built_once
-
-# Every line separator the source system recognises.
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
-_BLANK = r"[\s\x1C-\x1F]"
+from ledgerloom.functions.binding import built_once, let
+
+# Every line separator the source system recognises; a CR LF pair only makes a
+# further blank line, and those drop out.
+_BREAKS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+LINE_BREAK = f"[{_BREAKS}]"
+# Blanks that are left inside a line once text is decomposed and split.
+_BLANK = r" \t\x1F\u1680"
 _NON_ASCII = r"[^\x00-\x7F]"
 
 # Typographic marks and their plain form.
@@ -37,20 +40,29 @@ def decompose(text: Column) -> Column:
 
 
 def fold_accents(text: Column, marks_from: str = "", marks_to: str = "") -> Column:
-    """NFKD without combining marks; plain ASCII text is passed through untouched."""
+    """NFKD without combining marks; plain ASCII text is passed through untouched.
+
+    The marks of Latin letters go by one range; the character table of all
+    others is consulted only where something beyond Latin-1 is left.
+    """
+
+    def strip(latin: Column) -> Column:
+        return F.when(
+            latin.rlike(r"[^\x00-\xFF]"), F.translate(latin, marks_from + _combining_marks(), marks_to)
+        ).otherwise(latin)
+
     return F.when(
-        text.rlike(_NON_ASCII),
-        F.translate(decompose(text), marks_from + _combining_marks(), marks_to),
+        text.rlike(_NON_ASCII), let(F.regexp_replace(decompose(text), r"[\u0300-\u036F]+", ""), strip)
     ).otherwise(text)
 
 
 def normalize_text(text: Column) -> Column:
     """Canonical form: no accents, upper case, single spaces, no blank lines."""
     plain = F.upper(fold_accents(F.coalesce(text, F.lit("")), _MARKS_FROM, _MARKS_TO))
-    lines = F.regexp_replace(plain, LINE_BREAK, "\n")
-    spaced = F.regexp_replace(lines, "[ \t]+", " ")
-    joined = F.regexp_replace(spaced, f"(?U){_BLANK}*\n{_BLANK}*", "\n")
-    trimmed = F.regexp_replace(joined, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    lines = F.regexp_replace(plain, f"[{_BLANK}]*[{_BREAKS}][{_BLANK}{_BREAKS}]*", "\n")
+    # Single spaces, the common case, are not matched and so not copied one by one.
+    spaced = F.regexp_replace(lines, "[ \t]{2,}|\t", " ")
+    trimmed = F.regexp_replace(spaced, f"^[{_BLANK}\n]+|[{_BLANK}\n]+$", "")
     return F.regexp_replace(trimmed, _LETTER_RUNS, "$1$2")
 
 
@@ -71,7 +83,7 @@ def lines_of(norm: Column) -> Column:
 
 def trim_blank(text: Column) -> Column:
     """Trim every Unicode blank at both ends."""
-    return F.regexp_replace(text, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
