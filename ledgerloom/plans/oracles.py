@@ -191,7 +191,7 @@ files AS (
     CASE doc_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'jpg' WHEN 3 THEN 'jpeg' WHEN 4 THEN 'txt' ELSE '' END AS ext,
     CASE doc_id % 6 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PNG' WHEN 2 THEN '.jpg' WHEN 3 THEN '.jpeg' WHEN 4 THEN '.txt' ELSE '' END AS suffix,
     CASE doc_id % 5 WHEN 1 THEN 'application/pdf' WHEN 2 THEN 'image/png' WHEN 3 THEN 'text/plain' ELSE '' END AS mime,
-    TIMESTAMP '1970-01-01' + to_seconds(1700000000 + doc_id * 86400) AS received_at
+    TIMESTAMP '2023-11-14 22:13:20' + to_days(CAST(doc_id % 3650 AS INTEGER)) AS received_at
   FROM documents),
 kinds AS (
   SELECT *, CASE WHEN format = 'PDF' THEN 'PDF' WHEN format IS NOT NULL THEN 'IMAGE' END AS family,
@@ -273,7 +273,7 @@ cleaned AS (
 normal AS (SELECT doc_id, {_runs("array_to_string(ls, chr(10))")} AS norm FROM cleaned)
 """
 sql("text_normalize", f"WITH {NORMAL} SELECT doc_id, length(norm) AS n_chars, md5(norm) AS norm_md5 FROM normal")
-sql("text_lines_of_documents", f"""
+sql("text_lines", f"""
 WITH {NORMAL}, parts AS (SELECT doc_id, string_split(norm, chr(10)) AS ls FROM normal WHERE norm <> '')
 SELECT doc_id, CAST(unnest(range(len(ls))) AS INTEGER) AS line_no, md5(unnest(ls)) AS line_md5 FROM parts""")
 sql("extract_number", f"WITH {TRUTH} SELECT doc_id, {n('number')} AS number, {n('number_pattern')} AS number_pattern FROM truth")

@@ -34,7 +34,7 @@ MAX_BYTES = 6000
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: portable(fn(spark, sf_dir))
+    QUERIES[fn.__name__.removesuffix("_")] = lambda spark, sf_dir: portable(fn(spark, sf_dir))
     return fn
 
 
@@ -123,7 +123,7 @@ def text_normalize(spark, sf):
 
 
 @query
-def text_lines_of_documents(spark, sf):
+def text_lines_(spark, sf):
     return text_lines(load(spark, sf, "documents")).select("doc_id", "line_no", F.md5("line").alias("line_md5"))
 
 

@@ -331,7 +331,8 @@ def files(docs: DataFrame) -> DataFrame:
         F.concat(F.lit("C:\\entrada/"), F.col("lang"), F.lit(" fáctura(Ñ) "), k.cast("string"), extension)
         .alias("filename"),
         mime.alias("declared_mime"),
-        F.timestamp_seconds(F.lit(1700000000) + k * 86400).alias("received_at"),
+        F.expr("timestamp_ntz'2023-11-14 22:13:20' + make_dt_interval(CAST(doc_id % 3650 AS INT))")
+        .alias("received_at"),
         content.alias("content"),
     )
 

@@ -6,6 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _named(binary: DataFrame) -> DataFrame:
+    return binary.select(
+        F.substring_index("path", "/", -1).alias("filename"),
+        F.col("modificationTime").alias("received_at"),
+        "content",
+    )
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.xxhash64("filename").alias("doc_id"), "filename", "declared_mime", "received_at",
+        F.coalesce("content", F.lit(b"")).alias("content"),
+    )
+
+
+def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Files as they arrive in a folder tree, in the shape ``audit_files`` reads."""
+    arriving = (
+        spark.readStream.format("binaryFile").schema(_BINARY)
+        .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
+    )
+    return _keyed(_named(arriving).withColumn("declared_mime", F.lit(None).cast("string")))
+
+
 def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """Files of a folder tree in the shape ``audit_files`` reads.
 
@@ -13,22 +40,14 @@ def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None
     (filename, declared_mime) of what was sent brings those back as empty files
     and adds the declared types; without one they cannot be seen.
     """
-    found = (
+    found = _named(
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select(
-            F.substring_index("path", "/", -1).alias("filename"),
-            F.col("modificationTime").alias("received_at"),
-            "content",
-        )
     )
     if manifest is None:
         rows = found.withColumn("declared_mime", F.lit(None).cast("string"))
     else:
         rows = found.join(manifest.select("filename", "declared_mime"), "filename", "full")
-    return rows.select(
-        F.xxhash64("filename").alias("doc_id"), "filename", "declared_mime", "received_at",
-        F.coalesce("content", F.lit(b"")).alias("content"),
-    )
+    return _keyed(rows)
 
 
 def write_dated(rows: DataFrame, path: str, stamp: str = "created_at", mode: str = "append") -> None:

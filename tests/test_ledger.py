@@ -143,6 +143,19 @@ def test_binary_files(spark, tmp_path):
         "three.jpg": ("empty_file", "empty", None), "four.png": ("file_too_large", "too_large", None)}
 
 
+def test_file_stream_registers_new_files_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for n in range(3):
+        (source / f"f{n}.pdf").write_bytes(b"%PDF-1.7 " + bytes(n))
+        (source / f"bad{n}.pdf").write_bytes(b"text")
+        streams.ingest_stream(sinks.file_stream(spark, str(source)), out, checkpoint)
+    documents, jobs = streams.ingested(spark, out)
+    assert sorted(r.filename for r in documents.collect()) == ["f0.pdf", "f1.pdf", "f2.pdf"]
+    assert {(r.status, r.attempts) for r in jobs.collect()} == {("PENDING", 0)}
+
+
 def test_dated_sink_prunes(spark, tmp_path, sf_dir):
     out = str(tmp_path / "ledger")
     sinks.write_dated(derived.jobs(spark, sf_dir), out)
