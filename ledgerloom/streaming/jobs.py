@@ -66,10 +66,13 @@ def ingested(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
 
 def process_once_stream(
     documents: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-    key: str = "document_id",
+    key: str = "document_id", check: Callable[[DataFrame], DataFrame] | None = None, checks: str = "",
 ) -> None:
     """Run ``process`` once per document although batches and rows may repeat.
 
+    ``check`` then reads the batch as stored, so nothing is extracted twice, and
+    its result goes to the batch's folder below ``checks``.
+
     The stored keys are read with an anti join before each batch; the batch's
     own folder is left out, so that a batch repeated after a crash is redone.
     """
@@ -80,7 +83,10 @@ def process_once_stream(
         if batch_id > 0:
             stored = spark.read.parquet(out).filter(F.col("batch") != batch_id).select(key)
             todo = todo.join(stored, key, "left_anti")
-        process(todo).write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        done = os.path.join(out, f"batch={batch_id}")
+        process(todo).write.mode("overwrite").parquet(done)
+        if check is not None:
+            check(spark.read.parquet(done)).write.mode("overwrite").parquet(os.path.join(checks, f"batch={batch_id}"))
 
     run_available(documents, write, checkpoint)
 
