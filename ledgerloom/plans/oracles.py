@@ -38,7 +38,7 @@ lines AS (
          CAST(round(l_tax * 100) AS BIGINT) AS tax_pct
   FROM lineitem),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY part_id % 16, l_linenumber, part_id,
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (part_id * 31 + line_supplier) % 4096, l_linenumber, part_id,
             line_supplier, q, price_c, tax_pct) - 1 AS line_at
   FROM lines),
 priced AS (

@@ -17,7 +17,7 @@ from ledgerloom.sources.tables import load
 
 LINES_PER_INVOICE = 50
 INVOICE_STRIDE = 10**12
-LINE_BUCKETS = 16
+LINE_BUCKETS = 4096
 
 
 def money(cents: Column) -> Column:
@@ -36,7 +36,8 @@ def item_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_tax") * 100).cast("long").alias("tax_pct"),
     )
     order = ["l_linenumber", "part_id", "line_supplier", "quantity", "price_c", "tax_pct"]
-    placed = dense_position(lines, "l_orderkey", F.col("part_id") % LINE_BUCKETS, order, "line_at")
+    bucket = (F.col("part_id") * 31 + F.col("line_supplier")) % LINE_BUCKETS
+    placed = dense_position(lines, "l_orderkey", bucket, order, "line_at")
     return (
         placed.withColumn("unit_c", F.expr("price_c div quantity"))
         # One cent up to three cents off the product for some parts; a few zero quantities.
