@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import bpe
+from ledgerloom.llm import bpe, langid
 from ledgerloom.llm.common import ship, table
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.mixing import mix
@@ -41,6 +41,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = docs.select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    model = langid.train(fold.filter("not held_out"))
+    return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 ORACLES["op8_exact_dedup"] = """
 WITH d AS (
   SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS body FROM documents
