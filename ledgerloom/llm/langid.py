@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,6 +190,24 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     )
 
 
+def _keep(shared, place: int):
+    judge = _predict(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(place)], ["doc_id", "text"])
+            (found,) = judge(iter([pair]))
+            yield batch.filter(pc.and_(pc.not_equal(found.column(1), "und"), pc.invert(found.column(3))))
+
+    return run
+
+
+def keep_recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """Rows, with all their columns, whose text has a language that is not ambiguous."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_keep(shared, docs.columns.index(text_col)), docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
     """Whether crc32 of the id as text falls in the fold; a null id does not."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm import bpe, langid
 from ledgerloom.llm.common import ship, table
 from ledgerloom.llm.exact_dedup import exact_dedup
+from ledgerloom.llm.jaccard import jaccard_join
 from ledgerloom.llm.mixing import mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
