@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, langid, toxicity
+from ledgerloom.llm import bpe, langid, quality, toxicity
 from ledgerloom.llm.common import ship, table
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.jaccard import jaccard_join
@@ -64,6 +64,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+@query
+def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 poor, 1 well made but toxic, 2 well made; kept are documents likelier above 0 than not.
+
+    Rows of the fold crc32(doc_id) mod 5 = 0 keep their ratings from the fit.
+    """
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = langid.held_out()
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
+    model = quality.train(docs, labels.filter(~out).select("doc_id", grade.alias("grade")))
+    rated = quality.rate(docs, model)
+    return rated.select(
+        "doc_id", out.alias("held_out"), "expected_grade",
+        F.element_at("tails", 1).alias("p_above_0"), F.element_at("tails", -1).alias("p_top"),
+        (F.element_at("tails", 1) >= 0.5).alias("kept"),
+    )
+
+
 ORACLES["op8_exact_dedup"] = """
 WITH d AS (
   SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS body FROM documents
