@@ -12,6 +12,7 @@ from ledgerloom.llm import bpe, langid, quality, toxicity
 from ledgerloom.llm.common import ship, table
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.jaccard import jaccard_join
+from ledgerloom.llm.line_dedup import line_dedup
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.suffix_dedup import suffix_dedup
 from ledgerloom.llm.topk import top_k
@@ -29,6 +30,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
