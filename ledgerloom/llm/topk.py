@@ -11,6 +11,7 @@ rise. The first k-th scores come from the sample itself, so cells can be dropped
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,6 +91,19 @@ def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q.astype(np.int64) @ p.astype(np.int64).T
 
 
+def _merge(best: list[tuple[int, int]], more: Iterator[tuple[int, int]], k: int) -> list[tuple[int, int]]:
+    """First k of two sorted lists of (minus score, id), each id once."""
+    out: list[tuple[int, int]] = []
+    seen: set[int] = set()
+    for pair in heapq.merge(best, more):
+        if pair[1] not in seen:
+            seen.add(pair[1])
+            out.append(pair)
+            if len(out) == k:
+                break
+    return out
+
+
 def search(q: Nodes, floors: np.ndarray, p: Nodes, k: int) -> list[tuple[int, int, int]]:
     """(query id, id, score) of each query's best k in a block, unless below its floor."""
     out = []
@@ -111,8 +125,8 @@ def search(q: Nodes, floors: np.ndarray, p: Nodes, k: int) -> list[tuple[int, in
             reach = score >= floor[:, None]
             for i in np.flatnonzero(reach.any(axis=1)):
                 at = np.flatnonzero(reach[i] & (ids != q.ids[a + i]))
-                at = at[np.lexsort((ids[at], -score[i, at]))[:k]]
-                best[i] = sorted(best[i] + [(-int(score[i, j]), int(ids[j])) for j in at])[:k]
+                at = at[np.lexsort((ids[at], -score[i, at]))]
+                best[i] = _merge(best[i], ((-int(score[i, j]), int(ids[j])) for j in at), k)
                 if len(best[i]) == k:
                     floor[i] = max(floor[i], -best[i][-1][0])
         for i, found in enumerate(best):
@@ -251,8 +265,8 @@ def top_k(
 
     Components x count as floor(scale * x); score is their integer inner product, ties go to the smaller id.
     Vectors that are null, empty, or hold a null, non-finite or overflowing component take no part,
-    nor do rows without an id. Vectors of different lengths are not compared. Repeated ids are one id:
-    a query never finds a row of its own id, and is answered once for each of its rows. An empty table gives an empty result.
+    nor do rows without an id. Vectors of different lengths are not compared. Rows that
+    repeat an id are one id, with the best score of any of them. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     value = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * scale))
@@ -294,7 +308,8 @@ def top_k(
         _search(k), "query_id long, vec_id long, score long"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
 
