@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.binding import let
 from ledgerloom.schemas import AMOUNT
 
-_PLAIN_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,2})?$"
+_PLAIN_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 
 def _exact(text: Column) -> Column:
-    """Decimal reading of a plain number, NULL for anything else."""
+    """Decimal reading of a plain number, NULL for anything else or beyond 20 whole digits."""
     return F.when(text.rlike(_PLAIN_NUMBER), text.try_cast("decimal(38,18)"))
 
 
@@ -51,7 +51,7 @@ def latam_amount(raw: Column) -> Column:
             .when(dot & (_tail_length(text, ".") >= 3), _drop(text, "."))
             .otherwise(text)
         )
-        return F.bround(_exact(plain), 2).cast(AMOUNT)
+        return F.bround(_exact(plain), 2).try_cast(AMOUNT)
 
     return let(_drop(F.trim(raw), "$", " ", "COP", "USD"), read)
 
@@ -59,7 +59,7 @@ def latam_amount(raw: Column) -> Column:
 def contract_amount(raw: Column) -> Column:
     """Contract reading: every comma is a dot, empty is zero; NULL when invalid."""
     text = F.replace(_drop(F.trim(raw), " "), F.lit(","), F.lit("."))
-    return _exact(F.coalesce(F.nullif(text, F.lit("")), F.lit("0"))).cast("decimal(30,10)")
+    return _exact(F.coalesce(F.nullif(text, F.lit("")), F.lit("0"))).try_cast("decimal(30,10)")
 
 
 def ledger_money(raw: Column) -> Column:
@@ -76,7 +76,7 @@ def ledger_money(raw: Column) -> Column:
             .otherwise(F.replace(text, F.lit(","), F.lit(".")))
         )
         value = _exact(plain)
-        return F.when(value >= 0, F.round(value, 2).cast(AMOUNT))
+        return F.when(value >= 0, F.round(value, 2).try_cast(AMOUNT))
 
     return F.when(raw.isNull(), F.lit("0.00").cast(AMOUNT)).otherwise(
         let(_drop(F.trim(raw), " ", "\u00a0"), read)

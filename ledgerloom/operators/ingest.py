@@ -19,15 +19,14 @@ PDF_MIME = "application/pdf"
 IMAGE_MIMES = ("image/png", "image/jpeg", "image/jpg")
 DEFAULT_MIME = {"PDF": "application/pdf", "PNG": "image/png", "JPEG": "image/jpeg"}
 MIN_PAGE_CHARS = 40
-NAME_CHARS = 150
+# Pages joined in one step; a document's steps are joined in turn.
+PAGES_A_STEP = 500
 
-PAGES_PER_BLOCK = 500
 
-
-def signature(content: Column) -> Column:
-    """PDF, PNG or JPEG by magic bytes (PDF anywhere in the first 1024), else NULL."""
+def signature(content: Column, pdf_window: int = PDF_WINDOW) -> Column:
+    """PDF, PNG or JPEG by magic bytes (PDF anywhere in the format's window), else NULL."""
     return (
-        F.when(F.contains(F.substring(content, 1, PDF_WINDOW), F.lit(PDF_MARK)), F.lit("PDF"))
+        F.when(F.contains(F.substring(content, 1, pdf_window), F.lit(PDF_MARK)), F.lit("PDF"))
         .when(F.startswith(content, F.lit(PNG_MARK)), F.lit("PNG"))
         .when(F.startswith(content, F.lit(JPEG_MARK)), F.lit("JPEG"))
     )
@@ -99,9 +98,11 @@ def audit_files(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     )
 
 
-def storage_key(doc_id: Column, filename: Column, stored_at: Column) -> Column:
-    """``YYYY/MM/<doc>__<name>`` with the name cut at 150 characters."""
-    name = F.left(F.regexp_replace(safe_filename(filename), "[^A-Za-z0-9._-]", "_"), F.lit(NAME_CHARS))
+def storage_key(doc_id: Column, filename: Column, stored_at: Column, name_chars: int | None = None) -> Column:
+    """``YYYY/MM/<doc>__<name>``; ``name_chars`` cuts the name where a file system asks for it."""
+    name = F.regexp_replace(safe_filename(filename), "[^A-Za-z0-9._-]", "_")
+    if name_chars is not None:
+        name = F.left(name, F.lit(name_chars))
     return F.concat(F.date_format(stored_at, "yyyy/MM"), F.lit("/"), doc_id.cast("string"), F.lit("__"), name)
 
 
@@ -127,12 +128,12 @@ def register_jobs(documents: DataFrame) -> DataFrame:
     )
 
 
-def assemble_pages(pages: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFrame:
-    """Document text from its pages: embedded text where there is enough, else OCR.
+def assemble_pages(pages: DataFrame, min_chars: int = MIN_PAGE_CHARS, documents: DataFrame | None = None) -> DataFrame:
+    """Document text from its pages: embedded text where there is enough, else OCR; one row a document.
 
-    The text comes in blocks of ``PAGES_PER_BLOCK`` pages, in order (block 0 is
-    the whole text of ordinary documents), with the page count and method label
-    of the whole document on every block.
+    Pages are joined in steps of neighbouring pages first, so that no task sorts all pages of a
+    document, then the steps' texts in order. With ``documents`` (doc_id), those without a page come
+    out as method ``empty`` with 0 pages.
     """
     embedded, ocr = trim_blank(F.coalesce("embedded_text", F.lit(""))), trim_blank(F.coalesce("ocr_text", F.lit("")))
     enough = F.length("embedded") >= min_chars
@@ -142,20 +143,25 @@ def assemble_pages(pages: DataFrame, min_chars: int = MIN_PAGE_CHARS) -> DataFra
             F.coalesce(F.nullif(ocr, F.lit("")), F.col("embedded"))).alias("text"),
         enough.alias("is_embedded"),
     )
-    blocks = (
-        chosen.withColumn("block", F.floor(F.col("page_no") / PAGES_PER_BLOCK).cast("int"))
-        .groupBy("doc_id", "block")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("pages"),
-            F.count("*").alias("n"), F.count_if("is_embedded").alias("n_embedded"),
-        )
-        .select("doc_id", "block", "n", "n_embedded", F.array_join(F.col("pages.text"), "\n\n").alias("text"))
+
+    def joined(items: str, order: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, items))), lambda p: p[items]), "\n\n")
+
+    steps = (
+        chosen.withColumn("step", F.floor(F.col("page_no") / PAGES_A_STEP).cast("int"))
+        .groupBy("doc_id", "step")
+        .agg(joined("text", "page_no").alias("text"), F.count("*").alias("n"), F.count_if("is_embedded").alias("n_embedded"))
+    )
+    whole = steps.groupBy("doc_id").agg(
+        joined("text", "step").alias("text"), F.sum("n").alias("page_count"), F.sum("n_embedded").alias("e")
     )
-    whole = blocks.groupBy("doc_id").agg(F.sum("n").alias("page_count"), F.sum("n_embedded").alias("e"))
+    if documents is not None:
+        whole = documents.select("doc_id").join(whole, "doc_id", "left").na.fill({"text": "", "page_count": 0, "e": 0})
     n_ocr = F.col("page_count") - F.col("e")
     label = F.concat(
         F.array_join(F.array_compact(F.array(
             F.when(F.col("e") > 0, F.lit("embedded-text")), F.when(n_ocr > 0, F.lit("tesseract")))), "+"),
         F.when(n_ocr > 0, F.concat(F.lit(" (ocr_pages="), n_ocr.cast("string"), F.lit(")"))).otherwise(F.lit("")),
     )
-    return blocks.join(whole, "doc_id").select("doc_id", "block", "text", "page_count", label.alias("method"))
+    method = F.when(F.col("page_count") == 0, F.lit("empty")).otherwise(label)
+    return whole.select("doc_id", "text", "page_count", method.alias("method"))

@@ -24,14 +24,18 @@ def dedup_suppliers(sightings: DataFrame, known: DataFrame | None = None) -> Dat
     return first if known is None else first.join(known.select("tax_id"), "tax_id", "left_anti")
 
 
-def reject_duplicates(invoices: DataFrame) -> DataFrame:
+def reject_duplicates(invoices: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Mark the first invoice per (supplier, number) as kept, the others as rejected.
 
-    Winners come from a partial aggregation and are joined back on the unique
-    invoice id, never on the possibly crowded (supplier, number).
+    Any invoice whose (supplier, number) is among the ``stored`` ones is rejected. Winners come from
+    a partial aggregation and are joined back on the unique invoice id, never on the possibly
+    crowded (supplier, number).
     """
+    fresh = invoices
+    if stored is not None:
+        fresh = invoices.join(stored.select("supplier_id", "number").distinct(), ["supplier_id", "number"], "left_anti")
     kept = (
-        invoices.groupBy("supplier_id", "number")
+        fresh.groupBy("supplier_id", "number")
         .agg(F.min(F.struct("created_at", "invoice_id")).alias("w"))
         .select(F.col("w.invoice_id").alias("invoice_id"), F.lit(True).alias("kept"))
     )
@@ -44,16 +48,24 @@ def reject_duplicates(invoices: DataFrame) -> DataFrame:
     )
 
 
-def next_action(jobs: DataFrame, invoices: DataFrame) -> DataFrame:
-    """What to do with each job: skip, resume on the stored invoice, or process.
+def next_action(jobs: DataFrame, invoices: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """What to do with each job: skip, resume on the stored invoice, process, or refuse; one row a job.
 
-    A failed job cannot be completed against a stored invoice and is refused.
+    Of several invoices of a document the latest counts. A failed job cannot be completed against a
+    stored invoice and is refused. With ``documents``, a job whose document is not among them is
+    ``document_not_found``.
     """
-    stored = invoices.select("document_id", F.col("invoice_id").alias("stored_invoice_id"))
+    last = invoices.groupBy("document_id").agg(F.max(F.struct("created_at", "invoice_id")).alias("last"))
+    known = jobs.join(last.select("document_id", F.col("last.invoice_id").alias("stored_invoice_id")), "document_id", "left")
+    lost = F.lit(False)
+    if documents is not None:
+        there = documents.select("document_id").distinct().withColumn("there", F.lit(True))
+        known, lost = known.join(there, "document_id", "left"), F.col("there").isNull()
     has = F.col("stored_invoice_id").isNotNull()
-    return jobs.join(stored, "document_id", "left").select(
+    return known.select(
         "job_id", "document_id", "stored_invoice_id",
         F.when(F.col("status") == "COMPLETED", F.lit("skip"))
+        .when(lost, F.lit("document_not_found"))
         .when(has & (F.col("status") == "FAILED"), F.lit("refuse"))
         .when(has, F.lit("resume"))
         .otherwise(F.lit("process")).alias("action"),
@@ -66,12 +78,29 @@ def to_process(documents: DataFrame, invoices: DataFrame, key: str = "document_i
 
 
 def _money(column: str):
-    return F.round(column, 2).cast(MONEY)
+    return F.round(column, 2).try_cast(MONEY)
+
+
+def unstorable(payloads: DataFrame) -> DataFrame:
+    """Payloads with an amount that the ledger's columns cannot hold, as (doc_id, code)."""
+    parts = [F.col(f"money.{f}").isNotNull() & _money(f"money.{f}").isNull() for f in ("subtotal", "tax", "total")]
+    lines = F.exists("items", lambda i: (
+        (i["quantity"].isNotNull() & F.round(i["quantity"], 3).try_cast(QUANTITY).isNull())
+        | (i["unit_price"].isNotNull() & F.round(i["unit_price"], 2).try_cast(MONEY).isNull())
+        | (i["tax"].isNotNull() & F.round(i["tax"], 2).try_cast(MONEY).isNull())
+        | (i["total"].isNotNull() & F.round(i["total"], 2).try_cast(MONEY).isNull())
+    ))
+    bad = parts[0] | parts[1] | parts[2] | F.coalesce(lines, F.lit(False))
+    return payloads.filter(bad).select("doc_id", F.lit("amount_out_of_range").alias("code"))
 
 
 def invoice_rows(payloads: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Extraction payloads to invoice rows, supplier key resolved by tax id."""
-    keys = suppliers.select("supplier_id", F.col("tax_id").alias("_tax_id"))
+    """Extraction payloads to invoice rows, supplier key resolved by trimmed tax id.
+
+    One row a payload, also where suppliers repeat a tax id (the smallest key counts). An amount the
+    ledger cannot hold is NULL; ``unstorable`` lists those payloads.
+    """
+    keys = suppliers.groupBy(F.trim("tax_id").alias("_tax_id")).agg(F.min("supplier_id").alias("supplier_id"))
     return payloads.join(keys, F.trim(F.col("supplier.tax_id")) == F.col("_tax_id"), "left").select(
         F.col("doc_id").alias("document_id"), "supplier_id", "number", "issue_date", "due_date",
         "currency",
@@ -85,7 +114,7 @@ def item_rows(payloads: DataFrame) -> DataFrame:
     """Extraction payloads to item rows with 0-based positions."""
     return payloads.select(F.col("doc_id").alias("document_id"), F.posexplode("items").alias("position", "i")).select(
         "document_id", "position", F.col("i.description").alias("description"),
-        F.round("i.quantity", 3).cast(QUANTITY).alias("quantity"),
+        F.round("i.quantity", 3).try_cast(QUANTITY).alias("quantity"),
         _money("i.unit_price").alias("unit_price"),
         _money("i.tax").alias("tax_amount"),
         _money("i.total").alias("total"),
@@ -97,11 +126,11 @@ def audit_payload(payloads: DataFrame) -> DataFrame:
     body = F.struct(
         "number", F.date_format("issue_date", "yyyy-MM-dd").alias("issue_date"),
         F.date_format("due_date", "yyyy-MM-dd").alias("due_date"), "currency",
-        *[F.col(f"money.{f}").cast("decimal(20,2)").cast("string").alias(f) for f in ("subtotal", "tax", "total")],
+        *[F.col(f"money.{f}").try_cast("decimal(20,2)").cast("string").alias(f) for f in ("subtotal", "tax", "total")],
         "supplier",
         F.transform("items", lambda i: F.struct(
             i["description"].alias("description"),
-            *[i[f].cast("decimal(20,2)").cast("string").alias(f)
+            *[i[f].try_cast("decimal(20,2)").cast("string").alias(f)
               for f in ("quantity", "unit_price", "tax", "total")],
         )).alias("items"),
     )

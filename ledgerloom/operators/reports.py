@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ITEMS_PER_BLOCK = 1000
 PAGE_LIMITS = (1, 100)
 UNKNOWN_SUPPLIER = "(unknown)"
 SUMMARY = (
@@ -21,6 +20,13 @@ def _pattern(search: str) -> str:
     return "%" + re.sub(r"\\([^%_\\])", r"\1", search.strip()) + "%"
 
 
+def _by_key(suppliers: DataFrame) -> DataFrame:
+    """One row per supplier key, so that a repeated key cannot multiply invoices."""
+    rest = [c for c in suppliers.columns if c != "supplier_id"]
+    first = F.min(F.struct(*rest)).alias("s")
+    return suppliers.groupBy("supplier_id").agg(first).select("supplier_id", *[F.col(f"s.{c}").alias(c) for c in rest])
+
+
 def listing(
     invoices: DataFrame,
     suppliers: DataFrame,
@@ -36,7 +42,7 @@ def listing(
         rows = rows.filter(F.col("issue_date") >= F.lit(date_from).cast("date"))
     if date_to:
         rows = rows.filter(F.col("issue_date") <= F.lit(date_to).cast("date"))
-    names = suppliers.select(
+    names = _by_key(suppliers).select(
         "supplier_id", F.col("name").alias("supplier_name"), F.col("tax_id").alias("supplier_tax_id")
     )
     rows = rows.join(names, "supplier_id", "left")
@@ -67,31 +73,29 @@ def page(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
 
 
 def invoice_detail(invoices: DataFrame, suppliers: DataFrame, items: DataFrame) -> DataFrame:
-    """Invoice, supplier and items in position order.
+    """Invoice, supplier and item, a row per item; an invoice without items has one row without.
 
-    Items are nested in blocks of at most ``ITEMS_PER_BLOCK`` positions, so an
-    invoice of any length is returned whole without one unbounded array.
+    The same shape at any size: no invoice's items are gathered in one row. Rows of an invoice are
+    ordered by ``position``.
     """
-    line = F.struct("position", "description", "quantity", "unit_price", "tax_amount", "total")
-    blocks = (
-        items.withColumn("block", F.floor(F.col("position") / ITEMS_PER_BLOCK).cast("int"))
-        .groupBy("invoice_id", "block")
-        .agg(F.array_sort(F.collect_list(line)).alias("items"))
-    )
-    who = suppliers.select(
+    who = _by_key(suppliers).select(
         "supplier_id", F.col("name").alias("_name"), F.col("tax_id").alias("_tax"),
         "address", "phone", "email",
     )
+    lines = items.select(
+        "invoice_id", "position", "description", "quantity", "unit_price",
+        F.col("tax_amount").alias("item_tax"), F.col("total").alias("item_total"),
+    )
     return (
         invoices.join(who, "supplier_id", "left")
-        .join(blocks, "invoice_id", "left")
+        .join(lines, "invoice_id", "left")
         .select(
             "invoice_id", "document_id", "number", "issue_date", "due_date", "currency",
             "subtotal", "tax_amount", "total",
             F.coalesce("_name", F.lit(UNKNOWN_SUPPLIER)).alias("supplier_name"),
             F.coalesce("_tax", F.lit("")).alias("supplier_tax_id"),
             "address", "phone", "email",
-            F.coalesce("block", F.lit(0)).alias("block"), "items",
+            "position", "description", "quantity", "unit_price", "item_tax", "item_total",
         )
     )
 

@@ -39,13 +39,13 @@ def query(fn: Query) -> Query:
 
 
 # ------------------------------------------------------------ sources and ingest
-def _audited(spark, sf):
-    return ingest.audit_files(derived.file_table(spark, sf), MAX_BYTES)
+def _audited(spark, sf, max_bytes=ingest.MAX_BYTES):
+    return ingest.audit_files(derived.file_table(spark, sf), max_bytes)
 
 
 @query
 def ingest_file_audit(spark, sf):
-    return _audited(spark, sf).select(
+    return _audited(spark, sf, MAX_BYTES).select(
         "doc_id", "size_bytes", *[F.coalesce(c, F.lit("")).alias(c) for c in (
             "reason", "error_code", "document_type", "mime_type")]
     )
@@ -70,16 +70,15 @@ def ingest_storage_layout(spark, sf):
 
 @query
 def ingest_register(spark, sf):
+    """Documents and their jobs side by side; both are projections of one audit."""
     documents = ingest.register_documents(_audited(spark, sf))
-    jobs = ingest.register_jobs(documents).select(
-        "document_id", F.col("status").alias("job_status"), "attempts")
-    return documents.join(jobs, "document_id")
+    return documents.withColumns({"job_status": F.lit("PENDING"), "attempts": F.lit(0)})
 
 
 @query
 def page_text_assembly(spark, sf):
-    done = ingest.assemble_pages(derived.doc_pages(spark, sf))
-    return done.select("doc_id", "block", F.md5("text").alias("text_md5"), "page_count", "method")
+    done = ingest.assemble_pages(derived.doc_pages(spark, sf), documents=load(spark, sf, "documents"))
+    return done.select("doc_id", F.md5("text").alias("text_md5"), "page_count", "method")
 
 
 @query
@@ -409,8 +408,7 @@ def _issues(spark, sf):
 @query
 def validation_report(spark, sf):
     report = validate.validation_report(derived.invoices(spark, sf), _issues(spark, sf))
-    entry = F.transform("issues", lambda i: F.concat_ws("/", i["severity"], i["code"], i["field"], i["message"]))
-    return report.withColumn("issues", entry)
+    return _filled(report, "rule_ord", "item", "code", "severity", "message", "field")
 
 
 @query
@@ -501,10 +499,7 @@ def invoice_page(spark, sf):
 def invoice_detail(spark, sf):
     rows = reports.invoice_detail(
         derived.invoices(spark, sf), derived.suppliers(spark, sf), derived.items(spark, sf))
-    lines = F.transform("items", lambda i: F.concat_ws(
-        "/", i["position"].cast("string"), i["description"], i["quantity"].cast("string"),
-        i["unit_price"].cast("string"), i["tax_amount"].cast("string"), i["total"].cast("string")))
-    return _filled(rows.withColumn("items", lines), "due_date", "address", "phone", "email")
+    return _filled(rows, "due_date", "address", "phone", "email")
 
 
 @query
@@ -556,7 +551,7 @@ def failure_disposition(spark, sf):
 def stream_ingest(spark, sf):
     out, checkpoint = streams.scratch(spark, "ingest")
     arriving = derived.files(streams.table_stream(spark, sf, "documents"))
-    streams.ingest_stream(arriving, out, checkpoint, MAX_BYTES)
+    streams.ingest_stream(arriving, out, checkpoint)
     documents, jobs = streams.ingested(spark, out)
     return documents.join(jobs.select("document_id", F.col("status").alias("job_status"), "attempts"),
                           "document_id")

@@ -1,8 +1,7 @@
 """Billing tables derived by Spark from the general tables of a data directory.
 
 Money is worked out in whole cents and turned into decimals at the end. One
-order is billed in invoices of at most ``LINES_PER_INVOICE`` lines, so every
-per-invoice array is bounded by construction.
+order is one invoice, whatever its number of lines.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from ledgerloom.operators.numbering import dense_position
 from ledgerloom.schemas import MONEY, QUANTITY
 from ledgerloom.sources.tables import load
 
-LINES_PER_INVOICE = 50
-INVOICE_STRIDE = 10**12
 LINE_BUCKETS = 4096
 
 
@@ -45,8 +42,8 @@ def item_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
             "unit_c * quantity + CASE part_id % 40 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END"
         ))
         .select(
-            F.expr(f"l_orderkey + (line_at div {LINES_PER_INVOICE}) * {INVOICE_STRIDE}").alias("invoice_id"),
-            (F.col("line_at") % LINES_PER_INVOICE).cast("int").alias("position"),
+            F.col("l_orderkey").alias("invoice_id"),
+            F.col("line_at").cast("int").alias("position"),
             "part_id", "line_supplier",
             F.expr("CASE WHEN part_id % 97 = 5 THEN 0 ELSE quantity END").alias("quantity"),
             "unit_c",
@@ -77,7 +74,7 @@ def _invoice_head(cents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
         F.sum("total_c").alias("net_c"),
         F.sum("tax_c").alias("tax_c"),
         F.min("line_supplier").alias("supplier_id"),
-    ).withColumn("o_orderkey", F.col("invoice_id") % INVOICE_STRIDE)
+    ).withColumn("o_orderkey", F.col("invoice_id"))
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     k = F.col("invoice_id")
     issued = F.to_date("o_orderdate")
@@ -201,9 +198,10 @@ LAYOUTS = 8
 def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed invoices in eight layouts (by invoice id), one text per invoice.
 
-    0 utility bill, 1 labelled e-invoice with item blocks, 2 dates below their
-    labels, 3 receipt, 4 billing-platform print, 5 range authorisation header,
-    6 incomplete (no total), 7 not an invoice or one whose tax eats the total.
+    Each layout is made to reach other rules: 0 payment reference and billing
+    period, 1 labels with item blocks, 2 dates below their labels, 3 bare number
+    and a name near the tax id, 4 prefix number under an authorisation, 5 amount
+    first, 6 no total, 7 not an invoice or one whose tax eats the total.
     """
     cents = item_cents(spark, sf_dir)
     block = F.concat_ws(
@@ -213,7 +211,7 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.greatest(F.col("quantity"), F.lit(1)).cast("string"), F.lit(".00")),
         printed(F.col("unit_c"), "us"), printed(F.col("tax_c"), "us"), printed(F.col("total_c"), "us"),
     )
-    # At most LINES_PER_INVOICE blocks, and only for the layout that prints them.
+    # Only for the layout that prints them; a printed text holds them all anyway.
     blocks = (
         cents.filter(f"invoice_id % {LAYOUTS} = 1")
         .groupBy("invoice_id")
@@ -252,43 +250,34 @@ def _printed_invoice() -> Column:
         return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
     layouts = [
-        text(line(company, " S.A.S"), line("NIT ", tax_id, "-1"), "FACTURA ELECTRÓNICA DE VENTA:",
-             "REFERENCIA DE PAGO:", "REFERENCIA DE PAGO:", (F.lit(7000000000) + k).cast("string"),
-             "FECHA LÍMITE DE PAGO:", "FECHA LÍMITE DE PAGO:", due_dmy,
-             "TOTAL A PAGAR:", line("$", printed(gross, "us")),
-             "PERÍODO DE FACTURACIÓN:", line(named, " a 30-Dic-2030"),
-             line("Impuestos IVA:", printed(tax, "us"), " Consumo:77.01")),
-        text(line("Facturaa  Electrónica De\tVenta No. FE", big), "Moneda: USD",
-             line("Fecha de Emisión: ", dmy, " 10:43 AM"), line("Emisor:   ", company, " S.A.S"),
-             line("Nit del Emisor: ", tax_id), F.col("blocks"),
-             "Subtotal:", line("USD ", printed(net, "us")), "Monto IVA:", line("USD ", printed(tax, "us")),
-             line("Fecha de Vencimiento: ", due_dmy),
-             "Total a pagar:", line("USD ", printed(gross, "us"))),
-        text("Factura Electrónica de Venta", line("No.FESS", big), "FECHA DE EXPEDICION",
-             "FECHA DE PAGO", line(dmy, " 10:02:00 AM"),
-             line(company, " - ", company, " S.A.S. - Nit. ", tax_id, "-3"),
-             "Total Valor:", printed(net, "us"), "0.00"),
-        text("Elaborado en Soluciones Nube S.A.S NIT 900.111.222-2 / www.nube.example",
-             "LINA RICO MULLER", line("NIT ", tax_id, "-4"), "Tel: +57 42 27 36",
-             line("Fecha y hora: ", iso, "T14:51:15"), "Subtotal", line("$", grouped(whole_net, ".")),
+        text("RESUMEN DE CUENTA", line(company, " S.A.S"), line("NIT ", tax_id, "-1"),
+             line("PERIODO DE FACTURACION: ", named, " hasta 30-Dic-2030"),
+             line("IMPUESTOS IVA: ", printed(tax, "us")), "FECHA LIMITE DE PAGO", due_dmy,
+             line("REFERENCIA DE PAGO ", (F.lit(7000000000) + k).cast("string")),
+             line("TOTAL A PAGAR $", printed(gross, "us"))),
+        text(line("Emisor: ", company, " S.A.S"), line("NIT ", tax_id), line("Fecha de Emisión: ", dmy),
+             line("Fecha de Vencimiento: ", due_dmy), line("Factura Electrónica de Venta No. FE", big),
+             F.col("blocks"), line("Monto IVA: USD ", printed(tax, "us")),
+             line("Subtotal: USD ", printed(net, "us")), line("Total a pagar: USD ", printed(gross, "us"))),
+        text(line("Almacén Norte - ", company, " S.A.S - NIT ", tax_id, "-3"),
+             line("Factura Electrónica de Venta No. SV", big), "Fecha de Pago", "Fecha de Expedición", dmy,
+             line("Total Valor: ", printed(net, "us"))),
+        text("Subtotal", line("$", grouped(whole_net, ".")),
              line("No. ", (F.lit(100000) + k % 1000000).cast("string")),
-             "Total", line("$", grouped(whole_net, "."))),
-        text("PLATAFORMA: Nubefactura Nit. 901.333.444-8", "GLORIA YADIRA BELTRAN",
-             line("NIT: ", tax_id, "-0"),
-             "Autorización factura electrónica de venta No. 18764092313021 válida desde 2020-04-24",
-             "FACTURA ELECTRÓNICA DE VENTA :", line("FV - ", (F.lit(1000) + k % 1000000).cast("string")),
-             "FECHA FIRMADO:", line(dmy, " 12:31:24"), "MONEDA:", "EUR",
-             "Subtotal:", line("$", printed(net, "latam")), "Total:", line("$", printed(gross, "latam"))),
-        text(line(company, " LTDA."), line("NIT. ", tax_id, "-1"),
-             "Autorización facturación electrónica No. 18764112289708",
-             line("Factura Electrónica De Venta FE", (F.lit(20) + k).cast("string")),
-             "Fecha de Factura:", iso, "TOTAL", grouped(whole_net, "."), "CUFE: e8f8e93ca65563aa6dbf"),
-        text(line("Factura Electrónica de Venta No. FE", big), line("Fecha de Emisión: ", dmy),
-             F.when(k % 16 == 6, line("Emisor: ", company, " S.A.S")), "Gracias por su compra"),
-        F.when(k % 16 == 7, text("Gracias por su visita", line("Total: ", printed(gross, "us"))))
-        .otherwise(text(line("Factura Electrónica de Venta No. FE", big),
-                        line("Emisor: ", company, " S.A.S"), line("NIT ", tax_id),
-                        line("Fecha de Emisión: ", dmy),
+             "Generado por Imprenta Digital NIT 800.777.111-6", "Taller La Esquina", "Cel 300 000",
+             line("NIT ", tax_id, "-4"), line("Impreso ", iso), "Total", line("$", grouped(whole_net, "."))),
+        text("Software: Libro Claro NIT 830.100.200-7", "Herrería El Yunque", line("NIT: ", tax_id, "-0"),
+             "Moneda EUR", "Resolución de factura electrónica de venta No. 70000112233445 vigente",
+             line("KL - ", (F.lit(1000) + k % 1000000).cast("string")), line("Firmado el ", dmy),
+             line("Subtotal: $", printed(net, "latam")), line("Total: $", printed(gross, "latam"))),
+        text(line("TOTAL ", grouped(whole_net, ".")), line("Fecha de Factura: ", iso), line(company, " LTDA."),
+             line("NIT. ", tax_id, "-1"), line("Factura Electrónica de Venta FE", (F.lit(20) + k).cast("string")),
+             "Numeración habilitada No. 55500066677"),
+        text(line("Fecha de Emisión: ", dmy), F.when(k % 16 == 6, line("Emisor: ", company, " S.A.S")),
+             line("Factura Electrónica de Venta No. FE", big), "Vuelva pronto"),
+        F.when(k % 16 == 7, text("Comprobante interno", line("Total: ", printed(gross, "us"))))
+        .otherwise(text(line("Fecha de Emisión: ", dmy), line("NIT ", tax_id), line("Emisor: ", company, " S.A.S"),
+                        line("Factura Electrónica de Venta No. FE", big),
                         line("Monto IVA: ", printed(gross, "us")), line("Total a pagar: ", printed(gross, "us")))),
     ]
     body = F.when(k % LAYOUTS == 0, layouts[0])

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _named(binary: DataFrame) -> DataFrame:
     return binary.select(
-        F.substring_index("path", "/", -1).alias("filename"),
+        "path", F.substring_index("path", "/", -1).alias("filename"),
         F.col("modificationTime").alias("received_at"),
         "content",
     )
@@ -19,7 +18,7 @@ def _named(binary: DataFrame) -> DataFrame:
 
 def _keyed(rows: DataFrame) -> DataFrame:
     return rows.select(
-        F.xxhash64("filename").alias("doc_id"), "filename", "declared_mime", "received_at",
+        F.sha2("path", 256).alias("doc_id"), "filename", "declared_mime", "received_at",
         F.coalesce("content", F.lit(b"")).alias("content"),
     )
 
@@ -34,11 +33,11 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Files of a folder tree in the shape ``audit_files`` reads.
+    """Files of a folder tree in the shape ``audit_files`` reads; the id is a hash of the full path.
 
     Spark's file source passes over files without a single byte. A manifest
-    (filename, declared_mime) of what was sent brings those back as empty files
-    and adds the declared types; without one they cannot be seen.
+    (path, declared_mime) of what was sent brings those back as empty files
+    and adds the declared types; without one they cannot be seen. A repeated path counts once.
     """
     found = _named(
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -46,7 +45,8 @@ def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None
     if manifest is None:
         rows = found.withColumn("declared_mime", F.lit(None).cast("string"))
     else:
-        rows = found.join(manifest.select("filename", "declared_mime"), "filename", "full")
+        sent = manifest.groupBy("path").agg(F.min("declared_mime").alias("declared_mime"))
+        rows = found.join(sent, "path", "full").withColumn("filename", F.substring_index("path", "/", -1))
     return _keyed(rows)
 
 

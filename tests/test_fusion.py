@@ -61,9 +61,9 @@ def test_contract(rows):
     assert good["issue_date"] == date(2026, 1, 2)
 
 
-PARTIAL = "Factura Electrónica de Venta FE364\nFecha de Emisión: 15/06/2026\nTotal: COP 162.000\nMonto IVA: 25.866\n"
-UNPRICED = "Factura Electrónica de Venta FE364\nFecha de Emisión: 15/06/2026\nEmisor: ACME S.A.S\n"
-LATE = "Factura Electrónica de Venta FE364\nFecha de Emisión: 15/06/2026\nFecha de Vencimiento: 01/06/2026\n"
+PARTIAL = "Factura Electrónica de Venta JK5501\nFecha de Emisión: 22/10/2025\nTotal: COP 73.100\nMonto IVA: 11.671\n"
+UNPRICED = "Factura Electrónica de Venta JK5501\nFecha de Emisión: 22/10/2025\nEmisor: Orilla Norte S.A.S\n"
+LATE = "Factura Electrónica de Venta JK5501\nFecha de Emisión: 22/10/2025\nFecha de Vencimiento: 02/10/2025\n"
 
 
 def test_fallback_fills_gaps(spark):
@@ -75,11 +75,11 @@ def test_fallback_fills_gaps(spark):
         "doc_id string, content string, reasoning string")
     got = {r.doc_id: r for r in fuse_fallback(rules_payload(extract(docs)), _checked(replies)).collect()}
     p = got["partial"]
-    assert (p.outcome, p.number, p.supplier.name) == ("merged", "FE364", "Beta SA")
+    assert (p.outcome, p.number, p.supplier.name) == ("merged", "JK5501", "Beta SA")
     # The amounts come as one block from the rules, the lines from the fallback.
-    assert (p.money.total, p.money.subtotal, p.money_from, p.items_from) == (162000, 136134, "rules", "fallback")
+    assert (p.money.total, p.money.subtotal, p.money_from, p.items_from) == (73100, 61429, "rules", "fallback")
     u = got["unpriced"]
-    assert (u.outcome, u.money.total, u.supplier.name, u.currency) == ("merged", 119, "ACME S.A.S", "COP")
+    assert (u.outcome, u.money.total, u.supplier.name, u.currency) == ("merged", 119, "ORILLA NORTE S.A.S", "COP")
     assert (got["none"].outcome, got["none"].number) == ("fallback", "A-1")
     assert (got["alone"].outcome, got["alone"].supplier) == ("PARTIAL", None)
     # Rules dates win and break the contract of the merged row.
@@ -89,15 +89,15 @@ def test_fallback_fills_gaps(spark):
 def test_two_sources(spark):
     full = UNPRICED + "Total a pagar: COP 10.000\n"
     docs = spark.createDataFrame([
-        ("embedded", full, full.replace("364", "999")), ("ocr", "nada", full), ("none", "nada", None),
+        ("embedded", full, full.replace("5501", "9999")), ("ocr", "nada", full), ("none", "nada", None),
         ("union", UNPRICED, "REFERENCIA DE PAGO: 777777\nTotal: COP 500\nMonto IVA: 80\n"),
         ("short", UNPRICED, ""), ("crash", full + "NIT 12\n", full),
     ], "doc_id string, embedded_text string, ocr_text string")
     got = {r.doc_id: r for r in fuse_sources(docs).collect()}
-    assert (got["embedded"].outcome, got["embedded"].number) == ("FULL", "FE364")
+    assert (got["embedded"].outcome, got["embedded"].number) == ("FULL", "JK5501")
     assert (got["ocr"].outcome, got["ocr"].money.total) == ("FULL", 10000)
     assert got["none"].outcome == "NONE"
     u = got["union"]
-    assert (u.outcome, u.number, u.money.total, u.money.subtotal, len(u["items"])) == ("FULL", "FE364", 500, 420, 1)
+    assert (u.outcome, u.number, u.money.total, u.money.subtotal, len(u["items"])) == ("FULL", "JK5501", 500, 420, 1)
     assert (got["short"].outcome, got["short"].missing_fields, got["short"]["items"]) == ("PARTIAL", ["total"], None)
     assert got["crash"].outcome == "ERROR"

@@ -93,15 +93,51 @@ def test_warning_band_needs_many_items(spark):
                    3: ("items.empty", "ERROR")}
 
 
-def test_long_reports_are_cut_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(validate, "ISSUES_PER_BLOCK", 10)
+def test_report_has_one_shape_at_any_size(spark):
     invoices = spark.createDataFrame([(1,), (2,)], "invoice_id long")
-    issues = spark.range(25).select(
+    issues = spark.range(2500).select(
         F.lit(1).cast("long").alias("invoice_id"), F.lit(11).alias("rule_ord"), F.col("id").cast("int").alias("item"),
         F.lit("c").alias("code"), F.lit("ERROR").alias("severity"), F.lit("m").alias("message"), F.lit("f").alias("field"))
-    got = {(r.invoice_id, r.block): (r.is_valid, len(r.issues))
-           for r in validate.validation_report(invoices, issues).collect()}
-    assert got == {(1, 0): (False, 10), (1, 1): (False, 10), (1, 2): (False, 5), (2, 0): (True, 0)}
+    got = [(r.invoice_id, r.is_valid, r.item) for r in validate.validation_report(invoices, issues).collect()]
+    assert sorted(got, key=str) == sorted([(1, False, k) for k in range(2500)] + [(2, True, None)], key=str)
+
+
+def test_one_poisoned_value_rejects_one_document(spark, rows):
+    from decimal import Decimal
+
+    from ledgerloom.functions.amounts import contract_amount, latam_amount, ledger_money
+    from ledgerloom.operators.extract import extract
+
+    big = "1234567890123456789012"
+    for reading in (latam_amount, contract_amount, ledger_money):
+        got = rows([(big,), ("1e99",), ("12",)], "raw string", lambda df: df.select(reading(F.col("raw")).alias("v")))
+        assert [r["v"] for r in got] == [None, None, Decimal("12")]
+    docs = spark.createDataFrame([(1, f"TOTAL A PAGAR: {big}"), (2, "TOTAL A PAGAR: 500")], "doc_id int, text string")
+    assert {r.doc_id: r.total for r in extract(docs).collect()} == {1: None, 2: Decimal("500.00")}
+    line = spark.createDataFrame([(1, Decimal("999999999.999"), Decimal("999999999999.99"), Decimal("1.00"))],
+                                 "invoice_id int, quantity decimal(12,3), unit_price decimal(14,2), total decimal(14,2)")
+    assert validate.line_totals(line).first().net_total > 10**20
+    payload = "doc_id int, number string, money struct<subtotal:decimal(30,10),tax:decimal(30,10),total:decimal(30,10)>, " \
+              "items array<struct<quantity:decimal(30,10),unit_price:decimal(30,10),tax:decimal(30,10),total:decimal(30,10)>>"
+    money = (Decimal(1), Decimal(0), Decimal(1))
+    table = spark.createDataFrame([
+        (1, "a", (Decimal(1), Decimal(0), Decimal(5 * 10**12)), [money + (Decimal(1),)]), (2, "b", money, [money + (Decimal(1),)]),
+        (3, "c", money, [(Decimal(1), Decimal(10**13), Decimal(0), Decimal(1))])], payload)
+    assert sorted(r.doc_id for r in persist.unstorable(table).collect()) == [1, 3]
+
+
+def test_duplicates_of_stored_invoices_and_jobs_once(spark):
+    new = spark.createDataFrame([(1, 7, "A", 1), (2, 7, "A", 2), (3, 8, "A", 3)],
+                                "invoice_id int, supplier_id int, number string, created_at int")
+    stored = spark.createDataFrame([(8, "A"), (8, "A")], "supplier_id int, number string")
+    assert {r.invoice_id: r.outcome for r in persist.reject_duplicates(new, stored).collect()} == {
+        1: "kept", 2: "rejected", 3: "rejected"}
+    jobs = spark.createDataFrame([(1, 1, "PENDING"), (2, 2, "PENDING"), (3, 3, "COMPLETED")],
+                                 "job_id int, document_id int, status string")
+    invoices = spark.createDataFrame([(10, 1, 1), (11, 1, 2)], "invoice_id int, document_id int, created_at int")
+    documents = spark.createDataFrame([(1,), (1,), (3,)], "document_id int")
+    got = {r.job_id: (r.stored_invoice_id, r.action) for r in persist.next_action(jobs, invoices, documents).collect()}
+    assert got == {1: (11, "resume"), 2: (None, "document_not_found"), 3: (None, "skip")}
 
 
 def test_page_rejects_bad_bounds(spark):
@@ -118,15 +154,15 @@ def test_search_wildcards_and_backslashes():
     assert reports._pattern(r"50\% c\d") == r"%50\% cd%"
 
 
-def test_pages_in_blocks(spark):
+def test_pages_of_one_document_are_one_row(spark):
     long = "x" * 40
     df = spark.createDataFrame(
-        [(1, 0, long, None), (1, 1, " thin ", " scan "), (1, 2, "t", " "), (2, 0, long, "o"), (1, 500, "", "last")],
+        [(1, 0, long, None), (1, 1, " thin ", " scan "), (1, 2, "t", " "), (2, 0, long, "o"), (1, 1500, "", "last")],
         "doc_id int, page_no int, embedded_text string, ocr_text string")
-    got = {(r.doc_id, r.block): (r.text, r.page_count, r.method) for r in assemble_pages(df).collect()}
-    label = "embedded-text+tesseract (ocr_pages=3)"
-    assert got == {(1, 0): (f"{long}\n\nscan\n\nt", 4, label), (1, 1): ("last", 4, label),
-                   (2, 0): (long, 1, "embedded-text")}
+    documents = spark.createDataFrame([(1,), (2,), (3,)], "doc_id int")
+    got = {r.doc_id: (r.text, r.page_count, r.method) for r in assemble_pages(df, documents=documents).collect()}
+    assert got == {1: (f"{long}\n\nscan\n\nt\n\nlast", 4, "embedded-text+tesseract (ocr_pages=3)"),
+                   2: (long, 1, "embedded-text"), 3: ("", 0, "empty")}
 
 
 def test_binary_files(spark, tmp_path):
@@ -135,7 +171,11 @@ def test_binary_files(spark, tmp_path):
     (tmp_path / "two.png").write_bytes(b"\xff\xd8\xff")
     (tmp_path / "three.jpg").write_bytes(b"")
     (tmp_path / "four.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * 50)
-    manifest = spark.createDataFrame([("three.jpg", None), ("one.pdf", None)], "filename string, declared_mime string")
+    (tmp_path / "one.pdf").write_bytes(b"%PDF-1.7 other")
+    manifest = spark.createDataFrame(
+        [(f"file:{tmp_path}/three.jpg", None), (f"file:{tmp_path}/a/one.pdf", None)], "path string, declared_mime string")
+    ids = [r.doc_id for r in sinks.read_files(spark, str(tmp_path), manifest).collect()]
+    assert len(ids) == len(set(ids)) == 5  # files of one name in two folders are two files
     got = {r.filename: (r.error_code, r.reason, r.mime_type)
            for r in audit_files(sinks.read_files(spark, str(tmp_path), manifest), 40).collect()}
     assert got == {
