@@ -715,4 +715,6 @@ SELECT doc_id AS document_id, route, {n('number')} AS number, {n(m('total_c'))}
   CASE WHEN route <> 'FULL' THEN 0
     ELSE coalesce(n_off, 0) + if(issue_date - {AS_OF} > 1, 1, 0) END AS n_issues
 FROM solved LEFT JOIN lines_off ON invoice_id = doc_id""")
-sql("stream_job_counts", f"WITH {EVENTS} SELECT kind AS status, count(*) AS n_jobs FROM log GROUP BY kind")
+sql("stream_job_counts", f"""
+WITH RECURSIVE {EVENTS}, {_JOB_FOLD}
+SELECT {_JOB_STATE} AS status, count(*) AS n_jobs FROM final GROUP BY 1""")

@@ -589,10 +589,11 @@ def stream_process_once(spark, sf):
 
 @query
 def stream_job_counts(spark, sf):
+    """Jobs per status after the last batch, as published by the stream."""
     out, checkpoint = streams.scratch(spark, "counts")
-    arriving = derived.job_events(streams.table_stream(spark, sf, "events")).withColumnRenamed("kind", "status")
-    streams.job_count_stream(arriving, out, checkpoint)
-    return spark.read.parquet(out)
+    published = f"{out}-published"
+    streams.fold_stream(derived.job_events(streams.table_stream(spark, sf, "events")), out, checkpoint, counts=published)
+    return spark.read.parquet(published)
 
 
 @query

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.operators.ingest import MAX_BYTES, audit_files, register_documents, register_jobs
 from ledgerloom.operators.lifecycle import (
@@ -28,10 +29,10 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     """A parquet table of the data directory as a file stream."""
     path = os.path.join(sf_dir, f"{name}.parquet")
     schema = spark.read.parquet(path).schema
-    # The pattern also holds a later name.parquet folder or further part files.
+    # A stream reads folders: of the table's one, or of the data directory the file of just this name.
     return (
         spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-        .parquet(os.path.join(sf_dir, f"{name}*.parquet"))
+        .parquet(os.path.join(sf_dir, f"{name}.parque[t]"))
     )
 
 
@@ -91,37 +92,47 @@ def process_once_stream(
     run_available(documents, write, checkpoint)
 
 
-def job_count_stream(job_rows: DataFrame, out: str, checkpoint: str) -> None:
-    """Live number of jobs per status; each batch replaces the published counts."""
-    counts = job_rows.groupBy("status").agg(F.count("*").alias("n_jobs"))
-
-    def publish(batch: DataFrame, _: int) -> None:
-        # At most one row per status.
-        batch.coalesce(1).write.mode("overwrite").parquet(out)
-
-    query = (
-        counts.writeStream.outputMode("complete").foreachBatch(publish)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
-
-def fold_stream(events: DataFrame, out: str, checkpoint: str, machine: Machine = JOB) -> None:
-    """Fold every micro-batch of events to one effect per job, in the batch's own folder.
+def fold_stream(
+    events: DataFrame, out: str, checkpoint: str, machine: Machine = JOB, period: str = "day", counts: str | None = None
+) -> None:
+    """Fold arriving events to one effect per job and period of event time.
 
-    The fold has no hot groups and needs no state store; a repeated batch
-    rewrites the same folder.
+    A batch's events are logged under their period, then the periods it touches are folded anew from
+    the log and replace their effects. So late and out-of-order events count at their own time, and
+    a repeated batch rewrites what it wrote. With ``counts`` the number of jobs per status is
+    published there after each batch.
     """
+    log, effects = os.path.join(out, "events"), os.path.join(out, "effects")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fold_events(batch, machine).write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+        spark = batch.sparkSession
+        stamped = batch.withColumn("period", F.date_format(F.date_trunc(period, F.col("ts")), "yyyyMMddHH"))
+        stamped.write.mode("overwrite").partitionBy("period").parquet(os.path.join(log, f"batch={batch_id}"))
+        logged = spark.read.schema(_with_partitions(stamped)).option("basePath", log).parquet(log)
+        # As many values as there are periods in one batch.
+        touched = [r[0] for r in stamped.select("period").distinct().collect()]
+        rows = logged.filter(F.col("period").isin(touched)).withColumn("_key", F.struct("job_id", "period"))
+        (
+            fold_events(rows, machine, "_key").select("_key.job_id", "effect", F.col("_key.period").alias("period"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(effects)
+        )
+        if counts:
+            # At most one row per status.
+            state = folded_state(spark, out, machine)
+            state.groupBy("status").agg(F.count("*").alias("n_jobs")).coalesce(1).write.mode("overwrite").parquet(counts)
 
     run_available(events, write, checkpoint)
 
 
+def _with_partitions(rows: DataFrame) -> StructType:
+    """Schema of the event log: folder names stay text."""
+    return StructType([*(f for f in rows.schema if f.name != "period"), StructField("batch", StringType()), StructField("period", StringType())])
+
+
 def folded_state(spark: SparkSession, out: str, machine: Machine = JOB) -> DataFrame:
-    """Current state per job: its batch effects composed in order of arrival."""
-    return current_state(compose_effects(spark.read.parquet(out), machine, "batch"), machine)
+    """Current state per job: the effects of its periods composed in order of event time."""
+    effects = spark.read.parquet(os.path.join(out, "effects")).withColumn("period", F.col("period").cast("string"))
+    return current_state(compose_effects(effects, machine, "period"), machine)
 
 
 def scratch(spark: SparkSession, label: str) -> tuple[str, str]:
