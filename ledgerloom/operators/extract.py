@@ -184,8 +184,9 @@ def date_hit(candidates: Column) -> Column:
     return _first_reading(candidates, parse_date)
 
 
-def any_date_hit(text: Column) -> Column:
-    head = F.left(text, F.lit(R.ANY_DATE_CHARS))
+def any_date_hit(text: Column, chars: int | None = None) -> Column:
+    """First date of the whole text, or of its first ``chars`` characters."""
+    head = text if chars is None else F.left(text, F.lit(chars))
     return _first_reading(F.array(_candidate(head, R.ANY_DATE_NAME)), parse_date)
 
 
@@ -253,7 +254,7 @@ def _issuer() -> Column:
 
 @built_once
 def _first_company() -> Column:
-    return first_of(F.transform(F.slice("lines", 1, R.COMPANY_LINES), _company_on_line))
+    return first_of(F.transform("lines", _company_on_line))
 
 
 @built_once
@@ -351,7 +352,7 @@ def _number(rules: tuple[Rule, ...]) -> Column:
 def _date(rules: tuple[Rule, ...], field: str) -> Column:
     candidates = date_candidates(F.col("norm"), F.col("lines"), rules, field)
     if field == "issue_date":
-        head = F.left("norm", F.lit(R.ANY_DATE_CHARS))
+        head = F.col("norm")
         candidates = F.concat(candidates, F.array(_candidate(head, R.ANY_DATE_NAME)))
     return date_hit(candidates)
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.binding import let
 from ledgerloom.schemas import DOCUMENT_STATES, JOB_STATES
 
-MESSAGE_CHARS = 2000
 EVENTS_PER_PIECE = 512
 
 
@@ -81,7 +80,7 @@ def _step(machine: Machine, acc: Column, event: Column) -> Column:
             acc["illegal"] + F.when(known & ~legal, 1).otherwise(0),
             F.coalesce(acc["first_started"], F.when(legal & (kind == "start"), event["ts"])),
             F.when(ends, event["ts"]).otherwise(acc["last_finished"]),
-            F.when(legal & (kind == "fail"), F.left(event["message"], F.lit(MESSAGE_CHARS)))
+            F.when(legal & (kind == "fail"), event["message"])
             .otherwise(acc["message"]),
             F.coalesce(F.when(legal & (kind == "complete"), event["invoice_id"]), acc["invoice_id"]),
         )

@@ -86,10 +86,8 @@ PLATFORM = (
 )
 NOT_A_NAME_START = r"^(?:TEL|CEL|EMAIL|WWW\.|HTTP|DIR)"
 NOT_A_NAME = r"(?Ud)^[\d\s.,:/-]+$"
-COMPANY_LINES = 20
 LINES_ABOVE = 5
 LINES_BELOW_LABEL = 5
-ANY_DATE_CHARS = 4000
 
 CURRENCY = r"(?U)\b(COP|USD|EUR|GBP)\b"
 REGIONAL_MARKERS = r"NIT|DIAN|COP|BOGOT|MEDELL|CUFE"

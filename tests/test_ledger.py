@@ -49,7 +49,7 @@ def _by_hand(machine, events):
         else:
             last = ts
         if kind == "fail":
-            message = text[:2000]
+            message = text
         if kind == "complete" and number is not None:
             invoice = number
     return machine.states[state], starts, illegal, first, last, message, invoice
