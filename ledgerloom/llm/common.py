@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,11 +54,18 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of tables already written: it acts on what the driver has collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Stage:
     """A DataFrame written as Parquet in the shared folder and read again: lineage is cut there."""
 
     def __init__(self, df: DataFrame, label: str, partition_by: tuple[str, ...] = ()):
         self.spark = df.sparkSession
+        _release(self.spark)
         self.path = f"{scratch_root(self.spark)}/{label}-{uuid.uuid4().hex[:8]}"
         writer = df.write.mode("overwrite")
         if partition_by:
@@ -67,6 +78,21 @@ class Stage:
         _delete(self.spark, self.path)
 
 
+def lean(run):
+    """A batch function that gives freed memory back to the system when its task ends.
+
+    Workers live on between tasks; without this, what one operator's arrays took stays with them.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     return Stage(df, label).df
 

@@ -11,6 +11,7 @@ positions, chosen by content alone, and unique ones leave before the offset grow
    windows, a piece whose seed no other piece has is unique.
 3. Alive windows of the pieces left are ranked as pairs (rank of the first half, rank at the offset
    of half a window), counted against each other and against settled pieces of the same seed.
+   Pairs are named by 64 bits: n windows make about n * n / 2**65 chance equalities.
 
 Ranks are hashes of the strings, so reranking is a count and nothing has to be sent back. Rounds 2
 and 3 read the texts again and filter by bitmaps of fixed size; a bit set by chance adds rows, never
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stage
+from ledgerloom.llm.common import Stage, lean, stage
 from ledgerloom.llm.shingles import _TABLE, _powers, mix
 
 LENGTH = 200
@@ -195,35 +196,50 @@ def _found_pieces(shared, length: int):
 
 
 def _found_windows(shared, length: int):
-    """Windows of open pieces by document, and, once a buffer, those of settled pieces with an open one's seed."""
+    """Alive windows: those of open pieces by document, those of settled pieces with an open one's seed by rank only."""
     half = length // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, open_pieces, open_seeds = (np.frombuffer(m, dtype=np.uint8) for m in shared.value)
         for batch in batches:
+            known: list[np.ndarray] = []
             for buffer in buffers(batch, 2, length):
                 found = _pieces(buffer, repeated, length)
                 if found is None:
                     continue
+
+                def windows(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    """(piece, place, rank) of the alive windows of pieces; a rank names the pair of its halves' ranks."""
+                    count = found.count[some]
+                    at = np.repeat(found.first[some] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    piece = np.repeat(some, count)
+                    lives = found.alive[at]
+                    at, piece = at[lives], piece[lives]
+                    with np.errstate(over="ignore"):
+                        pair = buffer.rank(at, half) * np.uint64(0x9E3779B97F4A7C15) + buffer.rank(at + half, length - half)
+                    return piece, at, mix(pair).astype(np.int64)
+
                 is_open = _bit(open_pieces, found.seed ^ found.rank)
                 settled = np.flatnonzero(~is_open & _bit(open_seeds, found.seed))
                 # Of equal settled pieces in a buffer one is enough.
                 settled = settled[np.unique(found.rank[settled], return_index=True)[1]]
-                for some, known in ((np.flatnonzero(is_open), False), (settled, True)):
-                    if not len(some):
-                        continue
-                    at = np.repeat(found.first[some], found.count[some])
-                    at += np.arange(len(at)) - np.repeat(np.cumsum(found.count[some]) - found.count[some], found.count[some])
-                    piece = np.repeat(some, found.count[some])
-                    lives = found.alive[at]
-                    at, piece = at[lives], piece[lives]
-                    left, right = (buffer.rank(at + k, n).astype(np.int64) for k, n in ((0, half), (half, length - half)))
+                if len(settled):
+                    known.append(np.unique(windows(settled)[2]))
+                if is_open.any():
+                    piece, at, rank = windows(np.flatnonzero(is_open))
                     rows = pa.array(found.row[piece])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at + found.skip[piece]),
-                         pa.array(left), pa.array(right), pa.array(np.full(len(at), known))],
-                        ["doc_id", "body", "first", "rank", "rank_after", "known"],
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at + found.skip[piece]), pa.array(rank),
+                         pa.array(np.zeros(len(at), dtype=bool))],
+                        ["doc_id", "body", "first", "rank", "known"],
                     )
+            if known:
+                rank = np.unique(np.concatenate(known))
+                nothing = pa.nulls(len(rank), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [nothing, nothing, nothing, pa.array(rank), pa.array(np.ones(len(rank), dtype=bool))],
+                    ["doc_id", "body", "first", "rank", "known"],
+                )
 
     return run
 
@@ -274,11 +290,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
     texts = texts.select("doc_id", F.xxhash64("raw").alias("body"), "raw")
     # A place that two slices offer counts twice: that keeps a window alive and settles nothing.
-    seeds = texts.select("raw").mapInArrow(_offered(length), "seed long").groupBy("seed").count().filter("count > 1")
+    seeds = texts.select("raw").mapInArrow(lean(_offered(length)), "seed long").groupBy("seed").count().filter("count > 1")
     repeated = _map(seeds, F.col("seed"))
     pieces = stage(
         texts.mapInArrow(
-            _found_pieces(context.broadcast(repeated), length),
+            lean(_found_pieces(context.broadcast(repeated), length)),
             "doc_id long, body long, first long, windows long, seed long, piece long",
         ),
         "pieces",
@@ -290,21 +306,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     maps = (
         repeated, _map(open_pieces, F.col("seed").bitwiseXOR(F.col("piece"))), _map(open_seeds, F.col("seed")),
     )
-    windows = stage(
+    windows = Stage(
         texts.mapInArrow(
-            _found_windows(context.broadcast(maps), length),
-            "doc_id long, body long, first long, rank long, rank_after long, known boolean",
+            lean(_found_windows(context.broadcast(maps), length)),
+            "doc_id long, body long, first long, rank long, known boolean",
         ),
         "windows",
     )
-    again = windows.groupBy("rank", "rank_after").agg(
-        F.count_if(~F.col("known")).alias("c"), F.bool_or("known").alias("known")
-    ).filter("known or c > 1").select("rank", "rank_after")
-    single = windows.filter("not known").join(again, ["rank", "rank_after"], "left_semi")
+    twice = F.sum(F.when(F.col("known"), 2).otherwise(1)) > 1
+    again = stage(windows.df.groupBy("rank").agg(twice.alias("twice")).filter("twice").select("rank"), "repeated-windows")
+    single = stage(
+        windows.df.filter("not known").join(again, "rank", "left_semi")
+        .select("doc_id", "body", "first", (F.col("first") + length).alias("last")), "window-spans",
+    )
+    windows.drop()
     settled = pieces.join(ranked.filter("c > 1").select("seed", "piece"), ["seed", "piece"], "left_semi")
     return settled.select(
         "doc_id", "body", "first", (F.col("first") + F.col("windows") + (length - 1)).alias("last")
-    ).unionByName(single.select("doc_id", "body", "first", (F.col("first") + length).alias("last")))
+    ).unionByName(single)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,13 +333,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     occurrences. Null counts as empty; texts shorter than ``length`` lose nothing. Repeated rows are
     copies of each other. An empty table gives an empty result. Other columns are ignored.
     """
-    spans = repeated_spans(docs, length, id_col, text_col).groupBy("doc_id", "body").agg(
-        F.collect_list(F.struct("first", "last")).alias("spans")
-    ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "spans.first", "spans.last")
+    spans = stage(
+        repeated_spans(docs, length, id_col, text_col).groupBy("doc_id", "body").agg(
+            F.collect_list(F.struct("first", "last")).alias("spans")
+        ).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "spans.first", "spans.last"), "spans",
+    )
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw"))
     texts = texts.withColumn("body", F.xxhash64("raw"))
     return (
         texts.join(spans, (F.col("body") == F.col("_body")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
         .select("doc_id", "raw", "first", "last")
-        .mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        .mapInArrow(lean(_removed), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )
