@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components, stage
+from ledgerloom.llm.common import components, lean, stage
+from ledgerloom.llm.idmap import id_map, marked
 from ledgerloom.llm.shingles import mix, set_key, shingles
 
 WORDS = 5
@@ -29,9 +30,6 @@ RECALL = 0.995
 #: Documents and shingles of one block of a tile.
 BLOCK_DOCS = 256
 BLOCK_SHINGLES = 400_000
-#: Bits of the map of candidates that the second scan filters by: 512 KB at any size.
-FILTER_BITS = 1 << 22
-BUCKET_BITS = 1 << 15
 
 
 def prefix_length(trees: int, label: int, threshold: float, recall: float) -> int:
@@ -86,39 +84,14 @@ def _sign(words: int, trees: int, length: int):
     return run
 
 
-def _slot(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slots = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False)))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(slots // BUCKET_BITS), pa.array(slots % BUCKET_BITS)], ["bucket", "bit"]
-        )
-
-
-def _id_map(ids: DataFrame) -> bytes:
-    """One bit per id slot; FILTER_BITS / 8 bytes however many ids there are."""
-    pieces = ids.mapInArrow(_slots, "bucket long, bit long").groupBy("bucket").agg(
-        F.bitmap_construct_agg("bit").alias("bits")
-    )
-    out = bytearray(FILTER_BITS // 8)
-    for row in pieces.collect():  # at most FILTER_BITS / BUCKET_BITS rows of 4 KB
-        at = row["bucket"] * BUCKET_BITS // 8
-        out[at:at + BUCKET_BITS // 8] = bytes(row["bits"])
-    return bytes(out)
-
-
-def _sets(words: int, id_map: bytes):
+def _sets(words: int, bits: np.ndarray):
     """Shingle sets of the documents that may be candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(id_map, dtype=np.uint8), bitorder="little")
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             out_ids, out, size = [], [], 0
-            for i in np.flatnonzero(bits[_slot(ids)]):
+            for i in np.flatnonzero(marked(bits, ids)):
                 found = shingles(batch.column(1)[int(i)].as_py(), words)
                 out_ids.append(int(ids[i]))
                 out.append(found.tobytes())
@@ -202,7 +175,7 @@ def jaccard_join(
     length = prefix_length(trees, label, threshold, recall)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stage(
-        plain.mapInArrow(_sign(words, trees, length), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "signed"
+        plain.mapInArrow(lean(_sign(words, trees, length)), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "signed"
     )
     key = ["n", "s1", "s2"]
     reps = stage(
@@ -226,7 +199,7 @@ def jaccard_join(
         "members",
     )
     sets = plain.filter("doc_id is not null").mapInArrow(
-        _sets(words, _id_map(placed.select("rep"))), "rep long, found binary"
+        lean(_sets(words, id_map(placed.select("rep")))), "rep long, found binary"
     )
     tiles = (
         placed.join(sets, "rep")
