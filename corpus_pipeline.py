@@ -69,7 +69,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document, decoded again as a check."""
     ship(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digest(bpe.bpe_decode(bpe.bpe_encode(docs, path, pattern), path, pattern))
+    return bpe.digest(bpe.bpe_round_trip(docs, path, pattern))
 
 
 STAGES = [

@@ -21,10 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import lean
+
 #: Bits of a word of the lower bitmap level.
 FAN = 256
 #: Distinct pre-tokens that a worker remembers; it forgets them all beyond that, which costs time only.
-MEMO = 600_000
+MEMO = 400_000
 #: Above so many characters pre-tokens are taken from the text piece by piece.
 PIECE = 1 << 20
 
@@ -178,6 +180,12 @@ def _decoder(path: str, pattern: str):
     return run
 
 
+def _round_trip(path: str, pattern: str):
+    """Encoding and decoding in one worker, piece by piece."""
+    encode, decode = _encoder(path, pattern), _decoder(path, pattern)
+    return lambda batches: decode(encode(batches))
+
+
 def _slices(batch: pa.RecordBatch, limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch of about so many bytes each."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
@@ -196,13 +204,20 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     are ignored. The vocabulary file must be at the same place on every executor.
     """
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _encoder(path, pattern), "doc_id long, ids binary"
+        lean(_encoder(path, pattern)), "doc_id long, ids binary"
     )
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded): the bytes that packed ids stand for; an id out of the table is an error."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path, pattern), "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(_decoder(path, pattern)), "doc_id long, ids binary, decoded binary")
+
+
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bpe_decode of bpe_encode, in one pass of one worker a task."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        lean(_round_trip(path, pattern)), "doc_id long, ids binary, decoded binary"
+    )
 
 
 def digest(decoded: DataFrame) -> DataFrame:

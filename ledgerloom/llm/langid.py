@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import lean
 from ledgerloom.llm.hashed import DENSE_SCHEMA, dense_rows, dense_totals, gram_slots, slices, text_bytes
 
 ORDERS = (2, 3, 4)
@@ -108,7 +109,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
         F.xxhash64(F.col(id_col)).alias("h"),
     ).filter("lang is not null and text is not null")
-    counts = dense_totals(rows.select("lang", "text").mapInArrow(_count, DENSE_SCHEMA), 1 << BITS)
+    counts = dense_totals(rows.select("lang", "text").mapInArrow(lean(_count), DENSE_SCHEMA), 1 << BITS)
     if not counts:
         return None
     languages = sorted(counts)
@@ -126,7 +127,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     cut = rows.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first()["h"]
     sampled = (
         rows.filter(F.col("h") <= F.lit(cut)).select("lang", "text", "h")
-        .mapInArrow(_raw(model), "lang string, margins array<double>, h long")
+        .mapInArrow(lean(_raw(model)), "lang string, margins array<double>, h long")
         .orderBy("h").limit(SAMPLE).collect()
     )
     margins = np.array([r["margins"] for r in sampled])
@@ -186,7 +187,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots x bits floats, whatever the corpus
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _predict(shared), "doc_id long, lang_pred string, score double, ambiguous boolean"
+        lean(_predict(shared)), "doc_id long, lang_pred string, score double, ambiguous boolean"
     )
 
 
@@ -205,7 +206,7 @@ def _keep(shared, place: int):
 def keep_recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Rows, with all their columns, whose text has a language that is not ambiguous."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(shared, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(lean(_keep(shared, docs.columns.index(text_col))), docs.schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:

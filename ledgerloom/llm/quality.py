@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import lean
 from ledgerloom.llm.hashed import gram_slots, slices
 
 ORDERS = (1, 2, 3)
@@ -152,7 +153,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     rows = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .join(sample, "doc_id").select("grade", "text", "h")
-        .mapInArrow(_extract, "grade int, slots binary, found binary, h long")
+        .mapInArrow(lean(_extract), "grade int, slots binary, found binary, h long")
         .orderBy("h", "slots").limit(PER_GRADE * len(grades)).toArrow()
     )
     found = [
@@ -193,5 +194,5 @@ def rate(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS numbers
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _rate(shared), "doc_id long, expected_grade double, tails array<double>"
+        lean(_rate(shared)), "doc_id long, expected_grade double, tails array<double>"
     )

@@ -51,7 +51,7 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digest(bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+    return bpe.digest(bpe.bpe_round_trip(table(spark, sf_dir, "documents"), path, pattern))
 
 
 @query
