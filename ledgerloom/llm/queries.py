@@ -32,7 +32,7 @@ def query(fn):
 
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup(table(spark, sf_dir, "documents"), runs=True)
 
 
 @query

@@ -221,6 +221,38 @@ def test_line_dedup(spark):
     assert first and first[0]["n_dropped"] == 0
 
 
+def pairs_kept_apart(spark, pairs) -> int:
+    """Of pairs of lines, each pair's own words, those whose second line stays."""
+    got = dicts(line_dedup(frame(spark, [line for pair in pairs for line in pair]), runs=True))
+    return sum(len(g["kept_lines"]) for g in got if g["doc_id"] % 2)
+
+
+@pytest.mark.parametrize("n, changed", [(5, 1), (10, 1), (10, 2), (20, 4), (40, 8), (60, 1)])
+def test_lines_at_the_similarity_are_found(spark, n, changed):
+    """All pairs are linked by brute force: none is filtered by keys."""
+    rng = random.Random(n)
+    pairs = []
+    for k in range(150):
+        one = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        two = list(one)
+        for at in rng.sample(range(n), changed):
+            two[at] = f"x{rng.randrange(10**9)}"
+        assert _edit(one, two) <= n * 0.2
+        pairs.append((" ".join(one), " ".join(two)))
+    assert pairs_kept_apart(spark, pairs) <= 0.05 * len(pairs)
+
+
+def test_short_lines_and_typos_are_found(spark):
+    pairs = [
+        ("copyright acme 2019", "copyright acme 2020"), ("page header one", "page header two"), ("chapter", "chaptar"),
+        ("all rights reserved", "all rights reservde"), ("confidential", "confidentia1"),
+        ("international telecommunication regulations", "internationel telecomunication regulation"),
+    ]
+    for x, y in pairs:
+        assert _edit(list(x), list(y)) <= int(max(len(x), len(y)) * 0.2 + 1e-9)
+    assert pairs_kept_apart(spark, pairs) == 0
+
+
 def test_very_alike_lines_need_no_pair_each(spark):
     base = words(random.Random(8), 60).split()
     texts = []
