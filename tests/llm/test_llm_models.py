@@ -259,6 +259,17 @@ def test_toxicity_does_not_see_held_out_labels(spark):
     assert [a for a, _ in one] == [a for a, _ in two] and np.allclose([s for _, s in one], [s for _, s in two])
 
 
+def test_all_labels_but_the_fit_sample_are_counted(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts, labels = rude(spark, 300)
+    counted = []
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    monkeypatch.setattr(toxicity, "train", lambda rows: counted.append(rows.filter("label >= 0").count()))
+    toxicity.toxicity(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int, label int"), F.lit(True))
+    assert counted == [290]
+
+
 def test_toxicity_of_odd_texts(spark):
     texts, labels = rude(spark, 100)
     df = frame(spark, [(1000 + i, t[1] if isinstance(t, tuple) else t) for i, t in enumerate(odd_texts())] + [(i, t) for i, t in enumerate(texts)])
