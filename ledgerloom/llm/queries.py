@@ -14,6 +14,7 @@ from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.jaccard import jaccard_join
 from ledgerloom.llm.line_dedup import line_dedup
 from ledgerloom.llm.mixing import mix
+from ledgerloom.llm.phrases import collocations
 from ledgerloom.llm.suffix_dedup import suffix_dedup
 from ledgerloom.llm.topk import top_k
 
@@ -100,6 +101,11 @@ def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op8_exact_dedup"] = """
 WITH d AS (
   SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS body FROM documents
@@ -124,3 +130,40 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+_LOWER_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_collocations"] = f"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER_AZ}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))
+), f AS (
+  SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM f WHERE k > 1 AND f >= 30
+), cuts AS (
+  SELECT lang, phrase, f AS a, p, array_to_string(w[1:p], ' ') AS head, array_to_string(w[p + 1:k], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS p FROM c)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.p, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.tail
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, p) = 1
+), held AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(f) AS most
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM c WHERE k > 2))
+  GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM weakest s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE h.most IS NULL OR 100::HUGEINT * h.most < 80::HUGEINT * s.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, n.n, k.score FROM ranked k JOIN n ON n.lang = k.lang WHERE k.rank <= 2000
+"""
