@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, langid, quality, toxicity
+from ledgerloom.llm.collisions import nearest
 from ledgerloom.llm.common import ship, table
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.jaccard import jaccard_join
+from ledgerloom.llm.lexical import lexical_search
 from ledgerloom.llm.line_dedup import line_dedup
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.phrases import collocations
@@ -106,6 +108,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op8_exact_dedup"] = """
 WITH d AS (
   SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS body FROM documents
@@ -167,3 +179,30 @@ WITH d AS (
 )
 SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, n.n, k.score FROM ranked k JOIN n ON n.lang = k.lang WHERE k.rank <= 2000
 """
+
+_TERMS = f"regexp_extract_all({_LOWER_AZ}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+ORACLES["op12_lexical_search"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents
+), known AS (
+  SELECT r, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0
+), whole AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM known
+), tf AS (
+  SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM known) GROUP BY r, term
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, docs
+), sized AS (
+  SELECT r, doc_id, 100 - 50 + (50 * n * docs) // words AS m FROM known, whole
+), asked AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL
+), scored AS (
+  SELECT a.item_id, s.r, s.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * s.m))) AS BIGINT) AS score
+  FROM asked a JOIN tf t ON t.term = a.term JOIN weight w ON w.term = a.term JOIN sized s ON s.r = t.r
+  GROUP BY a.item_id, s.r, s.doc_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
