@@ -13,7 +13,7 @@ from ledgerloom.llm.shingles import mix
 #: What a byte is: part of a word, a gap between words, or a break that no phrase crosses.
 WORD, GAP, BREAK = 0, 1, 2
 #: Bytes of text taken at once; a longer text is taken alone and whole.
-SLICE = 16 << 20
+SLICE = 6 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -51,8 +51,7 @@ def scan(texts: pa.Array, kind: np.ndarray) -> tuple[pa.Array, np.ndarray, np.nd
     data = _LOWER[raw[inside[1:-1].view(bool)]]
     words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     per_row = np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
-    run = np.cumsum(sort == BREAK, dtype=np.int32)[starts] if len(starts) else np.empty(0, np.int32)
-    return words, np.repeat(np.arange(len(size)), per_row), run
+    return words, np.repeat(np.arange(len(size)), per_row), np.searchsorted(np.flatnonzero(sort == BREAK), starts)
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
