@@ -1,10 +1,11 @@
 """Job and document lifecycles, folded from event logs without hot groups.
 
 A run of events acts on a state machine as a function "state before -> state
-after and what happened". Such functions compose, so a long history is cut into
-short pieces, each piece is folded for every possible start state, and the
-pieces are composed in order. No task ever sees more than one piece of events,
-even if one job owns a third of the log.
+after and what happened". Such functions compose, so this is an associative scan:
+the whole log is cut into ranges of (job, time, event) of about equal size, each
+range is folded for every possible start state in short pieces, and the ranges of
+a job are composed in order by a tree of bounded fan-in. A job with a third of the
+log, even of one instant, is spread over a third of the ranges.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from ledgerloom.functions.binding import let
 from ledgerloom.schemas import DOCUMENT_STATES, JOB_STATES
 
 EVENTS_PER_PIECE = 512
+#: Ranges of a key composed at once.
+FAN_IN = 64
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ DOCUMENT = Machine(DOCUMENT_STATES, {
     "fail": {0: 3, 1: 3, 3: 3},
 })
 
-_EFFECT = (
+EFFECT = (
     "struct<state:int,starts:bigint,illegal:bigint,first_started:timestamp,"
     "last_finished:timestamp,message:string,invoice_id:bigint>"
 )
@@ -51,7 +54,7 @@ def _effect(state, starts, illegal, first, last, message, invoice) -> Column:
         state.alias("state"), starts.alias("starts"), illegal.alias("illegal"),
         first.alias("first_started"), last.alias("last_finished"),
         message.alias("message"), invoice.alias("invoice_id"),
-    ).cast(_EFFECT)
+    ).cast(EFFECT)
 
 
 def _identity(state: int) -> Column:
@@ -115,44 +118,53 @@ def _compose(machine: Machine, pieces: Column) -> Column:
     return F.aggregate(pieces, identity, lambda acc, p: _then(acc, p["effect"]))
 
 
+def in_ranges(events: DataFrame, key: str, ranges: int) -> DataFrame:
+    """Events with ``_range``: sampled ranges of (key, ts, event_id), numbered in that order."""
+    return events.repartitionByRange(ranges, key, "ts", "event_id").withColumn("_range", F.spark_partition_id())
+
+
 def fold_events(
-    events: DataFrame, machine: Machine, key: str = "job_id", period: str = "hour",
-    piece: int = EVENTS_PER_PIECE,
+    events: DataFrame, machine: Machine, key: str = "job_id", ranges: int | None = None, piece: int = EVENTS_PER_PIECE,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Effect of each key's whole history for every start state.
 
-    ``events``: key, event_id, ts, kind, message, invoice_id; ordered by
-    (ts, event_id). Pieces of one period are numbered and folded inside one
-    shuffle on (key, period); only their effects travel on.
+    ``events``: key, event_id, ts, kind, message, invoice_id; ordered by (ts, event_id). They are dealt into
+    ``ranges`` ranges (by default as many as shuffle partitions), and one more shuffle brings each range to a task,
+    where it is cut into pieces, folded and composed. Only effects travel on.
     """
+    ranges = ranges or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["ts", "event_id"]
-    placed = events.withColumn("_period", F.date_trunc(period, F.col("ts"))).withColumn(
-        "_piece",
-        F.floor((F.row_number().over(Window.partitionBy(key, "_period").orderBy(*order)) - 1) / piece),
-    )
+    line = Window.partitionBy("_range").orderBy(key, *order)
+    placed = in_ranges(events, key, ranges).withColumn("_piece", F.floor((F.row_number().over(line) - 1) / piece))
     event = F.struct(*order, "kind", "message", "invoice_id")
     pieces = (
-        placed.groupBy(key, "_period", "_piece")
+        placed.groupBy("_range", "_piece", key)
         .agg(F.array_sort(F.collect_list(event)).alias("events"))
-        .select(key, "_period", "_piece", _fold_piece(machine, F.col("events")).alias("effect"))
+        .select("_range", "_piece", key, _fold_piece(machine, F.col("events")).alias("effect"))
     )
-    periods = (
-        pieces.groupBy(key, "_period")
-        .agg(F.array_sort(F.collect_list(F.struct("_piece", "effect"))).alias("parts"))
-        .select(key, "_period", _compose(machine, F.col("parts")).alias("effect"))
-    )
-    return compose_effects(periods, machine, "_period", key)
+    # The window has brought each range to one task: both aggregates run where it stands.
+    parts = _composed(pieces, machine, "_piece", key, "_range")
+    while ranges > 1:
+        up = parts.withColumn("_up", F.floor(F.col("_range") / fan_in))
+        parts = _composed(up, machine, "_range", key, "_up").withColumnRenamed("_up", "_range")
+        ranges = -(-ranges // fan_in)
+    return parts.select(key, "effect")
 
 
-def compose_effects(parts: DataFrame, machine: Machine, order: str, key: str = "job_id") -> DataFrame:
-    """One effect per key from its partial effects, taken in the given order."""
+def _composed(parts: DataFrame, machine: Machine, order: str, *keys: str) -> DataFrame:
     return (
-        parts.groupBy(key)
+        parts.groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct(order, "effect"))).alias("parts"))
-        .select(key, _compose(machine, F.col("parts")).alias("effect"))
+        .select(*keys, _compose(machine, F.col("parts")).alias("effect"))
     )
 
 
+def compose_effects(parts: DataFrame, machine: Machine, order: str, key: str = "job_id") -> DataFrame:
+    """One effect per key from its partial effects, taken in the given order."""
+    return _composed(parts, machine, order, key)
+
+
 def current_state(effects: DataFrame, machine: Machine, key: str = "job_id", start: int = 0) -> DataFrame:
     """Rows as they stand after the folded history, from the given start state."""
     e = F.get("effect", F.lit(start))

@@ -68,7 +68,8 @@ head AS (
 """
 INVOICES = HEAD + """,
 invoices AS (
-  SELECT invoice_id, invoice_id AS document_id, supplier_id, number, issue_date, due_date, currency,
+  SELECT invoice_id, invoice_id AS document_id,
+         CASE WHEN invoice_id % 50 = 49 THEN -supplier_id ELSE supplier_id END AS supplier_id, number, issue_date, due_date, currency,
          net_c + CASE invoice_id % 11 WHEN 1 THEN 700 WHEN 2 THEN 300 ELSE 0 END AS subtotal_c,
          tax_c, net_c + tax_c + CASE WHEN invoice_id % 13 = 1 THEN 1600 ELSE 0 END AS total_c,
          created_at, n_items, net_c
@@ -80,7 +81,7 @@ suppliers AS (
          CAST(900000000 + s_suppkey AS VARCHAR) AS tax_id, 'CALLE ' || (s_suppkey % 100) AS address,
          CASE WHEN s_suppkey % 3 = 0 THEN '+57 300 ' || s_suppkey END AS phone,
          CASE WHEN s_suppkey % 2 = 0 THEN 'ventas' || s_suppkey || '@andina.example' END AS email
-  FROM supplier WHERE s_suppkey % 50 <> 49)
+  FROM supplier)
 """
 TRUTH = HEAD + """,
 printed AS (
@@ -101,7 +102,7 @@ truth AS (
       WHEN '4' THEN 'numero_prefijo_guion_linea' WHEN '7a' THEN NULL
       ELSE 'factura_electronica_venta_no' END AS number_pattern,
     CASE WHEN l IN ('0', '1', '2', '7b') OR (l = '6' AND k % 16 = 6) THEN company || ' S.A.S'
-      WHEN l = '3' THEN 'TALLER LA ESQUINA' WHEN l = '4' THEN 'HERRERIA EL YUNQUE'
+      WHEN l = '3' THEN 'DEPOSITO SAN ROQUE' WHEN l = '4' THEN 'MUELLE LAS GARZAS'
       WHEN l = '5' THEN company || ' LTDA.' END AS name,
     CASE WHEN l IN ('0', '2', '5') THEN 'primera_linea_empresa' WHEN l IN ('3', '4') THEN 'nit_con_nombre_cercano'
       WHEN l IN ('1', '7b') OR (l = '6' AND k % 16 = 6) THEN 'etiqueta_emisor' END AS supplier_pattern,
@@ -597,7 +598,7 @@ FROM jobs j LEFT JOIN (SELECT * FROM invoices WHERE document_id % 2 = 0) i ON j.
 sql("build_invoice_tables", f"""
 WITH {HEAD} {REPLIES}, good AS (SELECT * FROM payloads WHERE violations = '')
 SELECT 'invoice' AS kind, invoice_id AS document_id, 0 AS position,
-  CASE WHEN supplier_id % 50 = 49 THEN '-' ELSE CAST(supplier_id AS VARCHAR) END || '|' || r_number || '|' || r_issue || '|' || r_currency AS what,
+  CAST(supplier_id AS VARCHAR) || '|' || r_number || '|' || r_issue || '|' || r_currency AS what,
   {m('net_c')} AS subtotal, {m('r_tax_c')} AS tax_amount, {m('r_total_c')} AS total FROM good
 UNION ALL
 SELECT 'item', invoice_id, 0, CASE WHEN kk % 3 <> 0 THEN 'Servicio' ELSE 'Conceptos facturados (agregado del documento)' END || '|1.000',
@@ -709,12 +710,26 @@ SELECT event_id, code, retries, CASE WHEN again THEN 'RETRY' ELSE 'FAILED' END A
 sql("stream_process_once", f"""
 WITH {TRUTH},
 gaps AS (SELECT invoice_id, abs(total_c - greatest(quantity, 1) * unit_c) AS gap FROM items WHERE invoice_id % 8 = 1),
-lines_off AS (SELECT invoice_id, count(*) AS n_off, count(*) FILTER (WHERE gap > 2) AS n_bad FROM gaps WHERE gap > 0 GROUP BY invoice_id)
-SELECT doc_id AS document_id, route, {n('number')} AS number, {n(m('total_c'))} AS total,
-  CASE WHEN route <> 'FULL' THEN '' WHEN coalesce(n_bad, 0) = 0 THEN 'true' ELSE 'false' END AS is_valid,
-  CASE WHEN route <> 'FULL' THEN 0
-    ELSE coalesce(n_off, 0) + if(issue_date - {AS_OF} > 1, 1, 0) END AS n_issues
-FROM solved LEFT JOIN lines_off ON invoice_id = doc_id""")
+lines_off AS (SELECT invoice_id, count(*) AS n_off, count(*) FILTER (WHERE gap > 2) AS n_bad FROM gaps WHERE gap > 0 GROUP BY invoice_id),
+good AS (
+  SELECT *, first_value(doc_id) OVER (PARTITION BY tax_id ORDER BY doc_id % 2, doc_id) AS ledger_supplier
+  FROM solved WHERE route = 'FULL'),
+kept AS (
+  SELECT *, row_number() OVER (PARTITION BY ledger_supplier, number ORDER BY doc_id % 2, doc_id) = 1 AS first FROM good),
+told AS (
+  SELECT o_orderkey AS document_id, coalesce(k.first, false) AS stored, k.*, coalesce(n_off, 0) AS off, coalesce(n_bad, 0) AS bad,
+    CASE WHEN s.doc_id IS NULL THEN 'document_not_found' WHEN k.first THEN '' WHEN k.doc_id IS NOT NULL THEN 'persistence_error'
+      WHEN s.route = 'PARTIAL' THEN 'llm_extraction_partial' ELSE 'llm_extraction_failed' END AS code
+  FROM orders LEFT JOIN solved s ON s.doc_id = o_orderkey LEFT JOIN kept k ON k.doc_id = o_orderkey
+  LEFT JOIN lines_off ON lines_off.invoice_id = o_orderkey)
+SELECT document_id, if(stored, 'PROCESSED', 'FAILED') AS status, if(stored, 'COMPLETED', 'FAILED') AS job_status, code,
+  {n("CASE WHEN stored THEN ledger_supplier END")} AS supplier_id, {n("CASE WHEN stored THEN tax_id END")} AS tax_id,
+  {n("CASE WHEN stored THEN number END")} AS number, {n("CASE WHEN stored THEN " + m('total_c') + " END")} AS total,
+  {n("CASE WHEN stored THEN if(l = '1', n_items, 1) END")} AS n_items,
+  {n("CASE WHEN stored THEN " + m("if(l = '1', net_c, sub_c)") + " END")} AS items_total,
+  {n("CASE WHEN stored THEN if(bad = 0, 'true', 'false') END")} AS is_valid,
+  {n(f"CASE WHEN stored THEN off + if(issue_date - {AS_OF} > 1, 1, 0) END")} AS n_issues
+FROM told""")
 sql("stream_job_counts", f"""
 WITH RECURSIVE {EVENTS}, {_JOB_FOLD}
 SELECT {_JOB_STATE} AS status, count(*) AS n_jobs FROM final GROUP BY 1""")

@@ -25,6 +25,7 @@ from ledgerloom.plans.portable import portable
 from ledgerloom.sources import derived
 from ledgerloom.sources.tables import load
 from ledgerloom.streaming import jobs as streams
+from ledgerloom.streaming import ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -557,47 +558,51 @@ def stream_ingest(spark, sf):
                           "document_id")
 
 
-@query
-def stream_process_once(spark, sf):
-    """Arriving invoices extracted, stored and checked once, each delivered twice."""
-    out, checkpoint = streams.scratch(spark, "process")
-    source, checks = f"{out}-source", f"{out}-checks"
-    _docs(spark, sf).write.parquet(source)
-    arriving = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 100).parquet(source)
-    twice = arriving.select(F.col("doc_id").alias("document_id"), "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
+def _arriving(spark, rows: DataFrame, source: str) -> DataFrame:
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(source)
 
-    def process(batch: DataFrame) -> DataFrame:
-        return extract.extract(batch).select(
-            "document_id", "route", "number", "issue_date", "due_date",
-            "subtotal", "tax", "total", "supplier", "items")
 
-    def check(stored: DataFrame) -> DataFrame:
-        full = stored.filter("route = 'FULL'").withColumn("invoice_id", F.col("document_id"))
-        invoices = full.select(
-            "invoice_id", F.xxhash64("supplier.tax_id").alias("supplier_id"), "number", "issue_date", "due_date",
-            "subtotal", F.col("tax").alias("tax_amount"), "total")
-        items = full.select("invoice_id", F.posexplode("items").alias("position", "i")).select(
-            "invoice_id", "position", "i.quantity", "i.unit_price", "i.total")
-        return validate.validity(invoices, validate.all_issues(invoices, items, AS_OF))
+@query
+def stream_process_once(spark, sf):
+    """The ledger after two deliveries: even documents, then all of them; per document what became of it.
 
-    streams.process_once_stream(twice, process, out, checkpoint, "document_id", check, checks)
-    stored = spark.read.parquet(out).select("document_id", "route", "number", "total")
-    checked = spark.read.parquet(checks).withColumnRenamed("invoice_id", "document_id").drop("batch")
-    rows = stored.join(checked, "document_id", "left")
-    return _filled(rows, "number", "total", "is_valid").withColumn("n_issues", F.coalesce("n_issues", F.lit(0)))
+    Orders without lines have no printed invoice: their documents cannot be found.
+    """
+    out, checkpoint = streams.scratch(spark, "process")
+    texts = f"{out}-texts"
+    orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderkey").alias("document_id"))
+    orders.join(_docs(spark, sf).withColumnRenamed("doc_id", "document_id"), "document_id", "left").select(
+        "job_id", "document_id", "text").write.parquet(texts)
+    rows = spark.read.parquet(texts)
+    store = ledger.open_ledger(spark, out, buckets=8)
+    for part in (rows.filter("document_id % 2 = 0"), rows):
+        part.write.mode("append").parquet(f"{out}-source")
+        ledger.ledger_stream(_arriving(spark, rows, f"{out}-source"), store, checkpoint, AS_OF)
+    t = {name: store.read(name) for name in ledger.TABLES}
+    lines = t["items"].groupBy("invoice_id").agg(F.count("*").alias("n_items"), F.sum("total").cast("decimal(20,2)").alias("items_total"))
+    found = (
+        t["documents"].join(t["jobs"].select("document_id", F.col("status").alias("job_status")), "document_id")
+        .join(t["invoices"].select("invoice_id", "supplier_id", "number", "total"), "invoice_id", "left")
+        .join(t["suppliers"].select("supplier_id", "tax_id"), "supplier_id", "left")
+        .join(lines, "invoice_id", "left")
+        .join(validate.validity(t["invoices"], t["issues"]), "invoice_id", "left")
+    ).select("document_id", "status", "job_status", "code", "supplier_id", "tax_id", "number", "total", "n_items", "items_total",
+             "is_valid", "n_issues")
+    return _filled(found, "supplier_id", "tax_id", "number", "total", "n_items", "items_total", "is_valid", "n_issues")
 
 
 @query
 def stream_job_counts(spark, sf):
-    """Jobs per status after the last batch, as published by the stream."""
+    """Jobs per status after the last batch, as counted up and down by the stream."""
     out, checkpoint = streams.scratch(spark, "counts")
-    published = f"{out}-published"
-    streams.fold_stream(derived.job_events(streams.table_stream(spark, sf, "events")), out, checkpoint, counts=published)
-    return spark.read.parquet(published)
+    store = streams.event_store(spark, out, buckets=8)
+    streams.fold_stream(derived.job_events(streams.table_stream(spark, sf, "events")), store, checkpoint)
+    return store.read("counts")
 
 
 @query
 def stream_job_state(spark, sf):
     out, checkpoint = streams.scratch(spark, "states")
-    streams.fold_stream(derived.job_events(streams.table_stream(spark, sf, "events")), out, checkpoint)
-    return streams.folded_state(spark, out).select("job_id", "status", "attempts", "illegal_events")
+    store = streams.event_store(spark, out, buckets=8)
+    streams.fold_stream(derived.job_events(streams.table_stream(spark, sf, "events")), store, checkpoint)
+    return streams.folded_state(store).select("job_id", "status", "attempts", "illegal_events")

@@ -34,11 +34,13 @@ def build_session(app: str = "ledgerloom", cpus: int | str = "*", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary
-    folder is made and recorded in the session.
+    Only where none is named and all runs on one machine, as in tests, a
+    temporary folder is made and recorded in the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -97,7 +97,7 @@ def _invoice_head(cents: DataFrame, spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invoices with a few known faults, chosen by id."""
+    """Invoices with a few known faults, chosen by id; one in fifty names a supplier that is not registered."""
     head = _invoice_head(item_cents(spark, sf_dir), spark, sf_dir)
     subtotal = F.expr(
         "net_c + CASE invoice_id % 11 WHEN 1 THEN 700 WHEN 2 THEN 300 ELSE 0 END"
@@ -106,7 +106,8 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.select(
         "invoice_id",
         F.col("invoice_id").alias("document_id"),
-        "supplier_id", "number", "issue_date", "due_date", "currency",
+        F.expr("CASE WHEN invoice_id % 50 = 49 THEN -supplier_id ELSE supplier_id END").alias("supplier_id"),
+        "number", "issue_date", "due_date", "currency",
         money(subtotal).alias("subtotal"),
         money(F.col("tax_c")).alias("tax_amount"),
         money(total).alias("total"),
@@ -115,10 +116,9 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered suppliers; one in fifty is missing so that invoices can dangle."""
-    raw = load(spark, sf_dir, "supplier").filter("s_suppkey % 50 <> 49")
+    """All registered suppliers."""
     key = F.col("s_suppkey")
-    return raw.select(
+    return load(spark, sf_dir, "supplier").select(
         key.alias("supplier_id"),
         F.concat(F.lit("COMERCIAL ANDINA "), key.cast("string"), F.lit(" S.A.S")).alias("name"),
         (F.lit(900000000) + key).cast("string").alias("tax_id"),
@@ -262,14 +262,14 @@ def _printed_invoice() -> Column:
         text(line("Almacén Norte - ", company, " S.A.S - NIT ", tax_id, "-3"),
              line("Factura Electrónica de Venta No. SV", big), "Fecha de Pago", "Fecha de Expedición", dmy,
              line("Total Valor: ", printed(net, "us"))),
-        text("Subtotal", line("$", grouped(whole_net, ".")),
-             line("No. ", (F.lit(100000) + k % 1000000).cast("string")),
-             "Generado por Imprenta Digital NIT 800.777.111-6", "Taller La Esquina", "Cel 300 000",
-             line("NIT ", tax_id, "-4"), line("Impreso ", iso), "Total", line("$", grouped(whole_net, "."))),
-        text("Software: Libro Claro NIT 830.100.200-7", "Herrería El Yunque", line("NIT: ", tax_id, "-0"),
-             "Moneda EUR", "Resolución de factura electrónica de venta No. 70000112233445 vigente",
-             line("KL - ", (F.lit(1000) + k % 1000000).cast("string")), line("Firmado el ", dmy),
-             line("Subtotal: $", printed(net, "latam")), line("Total: $", printed(gross, "latam"))),
+        text("Alquiler de herramienta por horas", "Powered by Caja Uno NIT 800.777.111-6", line("Entregado ", iso),
+             line("NO: ", (F.lit(100000) + k % 1000000).cast("string")), "Depósito San Roque", "Tel 604 000",
+             line("NIT: ", tax_id, "-4"), line("Valor Subtotal $ ", grouped(whole_net, ".")),
+             line("Cobrado Total: $ ", grouped(whole_net, "."))),
+        text(line("Amarre y agua, ", dmy), line("KL - ", (F.lit(1000) + k % 1000000).cast("string")), "Se cobra en EUR",
+             "Según resolución, factura electrónica de venta No. 70000112233445",
+             line("Subtotal ", printed(net, "latam")), "Muelle Las Garzas", "Generada en Puerto Fácil NIT 830.100.200-7",
+             line("NIT ", tax_id, "-0"), line("Total $", printed(gross, "latam"))),
         text(line("TOTAL ", grouped(whole_net, ".")), line("Fecha de Factura: ", iso), line(company, " LTDA."),
              line("NIT. ", tax_id, "-1"), line("Factura Electrónica de Venta FE", (F.lit(20) + k).cast("string")),
              "Numeración habilitada No. 55500066677"),

@@ -1,7 +1,7 @@
 """Streams over arriving documents and job events.
 
 Sinks are idempotent under redelivery: a repeated micro-batch rewrites its own
-folder or finds its documents already stored.
+folders or finds its commit record.
 """
 
 from __future__ import annotations
@@ -12,17 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerloom.operators.ingest import MAX_BYTES, audit_files, register_documents, register_jobs
-from ledgerloom.operators.lifecycle import (
-    JOB,
-    Machine,
-    compose_effects,
-    current_state,
-    fold_events,
-)
+from ledgerloom.operators.lifecycle import EFFECT, JOB, Machine, compose_effects, current_state, fold_events
 from ledgerloom.session import fresh_dir
+from ledgerloom.sources.store import Store, Table
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 100) -> DataFrame:
@@ -65,76 +59,61 @@ def ingested(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     return documents, register_jobs(documents)
 
 
-def process_once_stream(
-    documents: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
-    key: str = "document_id", check: Callable[[DataFrame], DataFrame] | None = None, checks: str = "",
-) -> None:
-    """Run ``process`` once per document although batches and rows may repeat.
+def event_store(spark: SparkSession, root: str, **options: int) -> Store:
+    """Where a stream of job events keeps its log, the effects of each job's periods, and the counts."""
+    return Store(spark, root, {
+        "events": Table("job_id", "job_id long, event_id long, ts timestamp, kind string, message string, invoice_id long, period string"),
+        "effects": Table("job_id", f"job_id long, period string, effect array<{EFFECT}>"),
+        "counts": Table("status", "status string, n_jobs long"),
+    }, **options)
 
-    ``check`` then reads the batch as stored, so nothing is extracted twice, and
-    its result goes to the batch's folder below ``checks``.
 
-    The stored keys are read with an anti join before each batch; the batch's
-    own folder is left out, so that a batch repeated after a crash is redone.
-    """
+def fold_batch(store: Store, events: DataFrame, number: int, machine: Machine = JOB, period: str = "day") -> None:
+    """Log one batch of events, fold anew the periods it touches, and move the jobs it touches to their new status.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        todo = batch.dropDuplicates([key])
-        if batch_id > 0:
-            stored = spark.read.parquet(out).filter(F.col("batch") != batch_id).select(key)
-            todo = todo.join(stored, key, "left_anti")
-        done = os.path.join(out, f"batch={batch_id}")
-        process(todo).write.mode("overwrite").parquet(done)
-        if check is not None:
-            check(spark.read.parquet(done)).write.mode("overwrite").parquet(os.path.join(checks, f"batch={batch_id}"))
-
-    run_available(documents, write, checkpoint)
-
-
-def fold_stream(
-    events: DataFrame, out: str, checkpoint: str, machine: Machine = JOB, period: str = "day", counts: str | None = None
-) -> None:
-    """Fold arriving events to one effect per job and period of event time.
-
-    A batch's events are logged under their period, then the periods it touches are folded anew from
-    the log and replace their effects. So late and out-of-order events count at their own time, and
-    a repeated batch rewrites what it wrote. With ``counts`` the number of jobs per status is
-    published there after each batch.
+    Late and out-of-order events count at their own time. Of the ledger only the buckets of the batch's jobs are
+    read. Counts change by retraction: one less at the old status of a touched job, one more at the new one.
     """
-    log, effects = os.path.join(out, "events"), os.path.join(out, "effects")
+    batch = store.begin(number)
+    if batch is None:
+        return
+    stamped = events.withColumn("period", F.date_format(F.date_trunc(period, F.col("ts")), "yyyyMMddHH"))
+    new = batch.append("events", stamped)
+    buckets = store.touched(new, "job_id")
+    touched = new.select("job_id", "period").distinct()
+    logged = store.read("events", buckets, batch.before).unionByName(new).join(touched, ["job_id", "period"], "left_semi")
+    folded = fold_events(logged.withColumn("_key", F.struct("job_id", "period")), machine, "_key")
+    old = store.read("effects", buckets, batch.before)
+    untouched = old.join(touched, ["job_id", "period"], "left_anti")
+    effects = batch.replace(
+        "effects", untouched.unionByName(folded.select("_key.job_id", "_key.period", "effect")), buckets
+    )
+    jobs = touched.select("job_id").distinct()
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stamped = batch.withColumn("period", F.date_format(F.date_trunc(period, F.col("ts")), "yyyyMMddHH"))
-        stamped.write.mode("overwrite").partitionBy("period").parquet(os.path.join(log, f"batch={batch_id}"))
-        logged = spark.read.schema(_with_partitions(stamped)).option("basePath", log).parquet(log)
-        # As many values as there are periods in one batch.
-        touched = [r[0] for r in stamped.select("period").distinct().collect()]
-        rows = logged.filter(F.col("period").isin(touched)).withColumn("_key", F.struct("job_id", "period"))
-        (
-            fold_events(rows, machine, "_key").select("_key.job_id", "effect", F.col("_key.period").alias("period"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").parquet(effects)
-        )
-        if counts:
-            # At most one row per status.
-            state = folded_state(spark, out, machine)
-            state.groupBy("status").agg(F.count("*").alias("n_jobs")).coalesce(1).write.mode("overwrite").parquet(counts)
-
-    run_available(events, write, checkpoint)
-
-
-def _with_partitions(rows: DataFrame) -> StructType:
-    """Schema of the event log: folder names stay text."""
-    return StructType([*(f for f in rows.schema if f.name != "period"), StructField("batch", StringType()), StructField("period", StringType())])
-
-
-def folded_state(spark: SparkSession, out: str, machine: Machine = JOB) -> DataFrame:
-    """Current state per job: the effects of its periods composed in order of event time."""
-    effects = spark.read.parquet(os.path.join(out, "effects")).withColumn("period", F.col("period").cast("string"))
+    def counted(rows: DataFrame, sign: int) -> DataFrame:
+        state = _state(rows.join(jobs, "job_id", "left_semi"), machine)
+        return state.select("status", F.lit(sign).cast("long").alias("n_jobs"))
+
+    moved = store.read("counts", None, batch.before).unionByName(counted(old, -1)).unionByName(counted(effects, 1))
+    totals = moved.groupBy("status").agg(F.sum("n_jobs").alias("n_jobs")).filter("n_jobs <> 0")
+    batch.replace("counts", totals, list(range(store.buckets)))  # a row per status
+    batch.commit()
+
+
+def _state(effects: DataFrame, machine: Machine) -> DataFrame:
     return current_state(compose_effects(effects, machine, "period"), machine)
 
 
+def fold_stream(events: DataFrame, store: Store, checkpoint: str, machine: Machine = JOB, period: str = "day") -> None:
+    """Fold all arriving events, micro-batch by micro-batch."""
+    run_available(events, lambda rows, number: fold_batch(store, rows, number, machine, period), checkpoint)
+
+
+def folded_state(store: Store, machine: Machine = JOB) -> DataFrame:
+    """Current state per job: the effects of its periods composed in order of event time."""
+    return _state(store.read("effects"), machine)
+
+
 def scratch(spark: SparkSession, label: str) -> tuple[str, str]:
     """Output and checkpoint folders for one run, below the shared folder."""
     root = fresh_dir(spark, label)

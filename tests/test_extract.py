@@ -10,54 +10,50 @@ import pytest
 from ledgerloom.operators import rules as R
 from ledgerloom.operators.extract import canonical, extract, extraction_report, matches_in_context
 
-UTILITY = """Red de Aguas Mirador S.A.
-Nit 811.222.333-4
-Periodo de facturación: 03-Mar-2026 hasta 02-Abr-2026
-Impuestos IVA: 1,205.40
+IRRIGATION = """Turno de riego, segundo semestre
+Total a pagar: $ 9,405.40
 Fecha límite de pago
 21-Abr-2026
+Impuestos IVA 1,205.40; fondo de canales 12.00
 Referencia de pago 4400552211
-Total a pagar $ 9,405.40
+Período de facturación: 03-Mar-2026 hasta 02-Abr-2026
+Acequia Mayor de Usuarios S.A.
+Nit 811.222.333-4
 """
 NOISY = (
     "Emisor:  Faro   Verde S.A.S\nNiit: 905123987\nFaactura  Electrónica\tde Venta No. ZB2210\n"
     "Fecha  de EMISIÓN:\t05/02/2026\nMonto IVA: COP 0,00\nSubtotal: COP 45.500,00\nTootal a Pagar: COP   45.500,00\n"
 )
-PLATFORM = """Software: Libro Claro NIT 830.100.200-7
-Herrería El Yunque
-NIT: 52111222-6
-Resolución de factura electrónica de venta No. 70000112233445
-QT - 908
-Firmado 11/03/2026 08:00
-Total: $812.300,50
+PRUNING = """Poda y tala para conjuntos residenciales
+Total: 418.250,75
+Visita realizada 06/08/2026
+Generado por Tinta Rápida, NIT 860.001.002-9
+Numeración para factura electrónica de venta No. 31004455
+HK - 4417
+Jardines Altamira
+NIT 71888999-2
 """
-BRAND = """Para: cliente final
-Quesos.co - Quesos.co S.A.S. - NIT 903444555-1
-Powered by Hilo NIT 830.100.200-7
-Factura Electrónica de Venta
- RT810
-Creado 09/01/2026
-Subtotal
-$50.421
-Iva (19.00%)
-$9.580
-Total
-$60.000
+THEATRE = """Iva (5%): 1.900
+Subtotal 38.001
+Total: 39.900
+Noche de estreno 17/10/2025
+Sala Oriente - Telones del Puerto LTDA - NIT 890777123-8
+Factura Electrónica de Venta:
+TP6604
 """
-LABELS = """Taller Sur - Cuerdas y Velas S.A.S. - Nit. 904222333-3
-Factura Electrónica de Venta
-No.SV7700123
-Fecha de Pago
+BOOKBINDER = """Fecha de Pago
 Fecha de Expedición
-14/05/2026 09:15:00
+14/05/2026 09:15
 1
-Vela mayor
+Cuero repujado
 2.00
 1.500,00
 0,00
 3.000,00
-Total Valor:
-3,000.00
+Total Valor: 3,000.00
+Factura Electrónica de Venta
+No.EN2200456
+Encuadernación Central - Lomo y Cosido S.A.S. - Nit. 904222333-3
 """
 NO_ID = ("Factura Electrónica De Venta No. Q-515\nEmisor: Orilla Norte S.A.S\nFecha de Emisión: 19/11/2025\n"
          "Total a Pagar: COP 88,450.30\n")
@@ -67,7 +63,7 @@ SHORT_ID = "Factura Electrónica de Venta No. FE900\nEmisor: Orilla Norte S.A.S\
 PERCENT = NO_ID + "IVA 19%\n"
 BAD_CELL = NO_ID + "1\nCosa buena\n2.00\n1.2.3\n0,00\n3.000,00\n"
 TEXTS = {n: globals()[n] for n in (
-    "UTILITY", "NOISY", "PLATFORM", "BRAND", "LABELS", "NO_ID", "PARTIAL", "NOTHING", "SHORT_ID",
+    "IRRIGATION", "NOISY", "PRUNING", "THEATRE", "BOOKBINDER", "NO_ID", "PARTIAL", "NOTHING", "SHORT_ID",
     "PERCENT", "BAD_CELL")}
 
 
@@ -78,11 +74,11 @@ def found(rows):
 
 
 @pytest.mark.parametrize(("doc", "number", "name", "tax_id", "issue", "due", "total"), [
-    ("UTILITY", "4400552211", "RED DE AGUAS MIRADOR S.A.", "811.222.333-4", date(2026, 3, 3), date(2026, 4, 21), "9405.40"),
+    ("IRRIGATION", "4400552211", "ACEQUIA MAYOR DE USUARIOS S.A.", "811.222.333-4", date(2026, 3, 3), date(2026, 4, 21), "9405.40"),
     ("NOISY", "ZB2210", "FARO VERDE S.A.S", "905123987", date(2026, 2, 5), None, "45500.00"),
-    ("PLATFORM", "QT-908", "HERRERIA EL YUNQUE", "52111222-6", date(2026, 3, 11), None, "812300.50"),
-    ("BRAND", "RT810", "QUESOS.CO S.A.S", "903444555-1", date(2026, 1, 9), None, "60000.00"),
-    ("LABELS", "SV7700123", "CUERDAS Y VELAS S.A.S", "904222333-3", date(2026, 5, 14), date(2026, 5, 14), "3000.00"),
+    ("PRUNING", "HK-4417", "JARDINES ALTAMIRA", "71888999-2", date(2026, 8, 6), None, "418250.75"),
+    ("THEATRE", "TP6604", "TELONES DEL PUERTO LTDA", "890777123-8", date(2025, 10, 17), None, "39900.00"),
+    ("BOOKBINDER", "EN2200456", "LOMO Y COSIDO S.A.S", "904222333-3", date(2026, 5, 14), date(2026, 5, 14), "3000.00"),
     ("NO_ID", "Q-515", "ORILLA NORTE S.A.S", "SIN-NIT-ORILLA", date(2025, 11, 19), None, "88450.30"),
 ])
 def test_layouts(found, doc, number, name, tax_id, issue, due, total):
@@ -93,13 +89,13 @@ def test_layouts(found, doc, number, name, tax_id, issue, due, total):
 
 
 def test_amount_details(found):
-    assert found["UTILITY"]["tax"] == Decimal("1205.40")
-    assert found["UTILITY"]["subtotal"] == Decimal("8200.00") and found["UTILITY"]["subtotal_derived"]
+    assert found["IRRIGATION"]["tax"] == Decimal("1205.40")
+    assert found["IRRIGATION"]["subtotal"] == Decimal("8200.00") and found["IRRIGATION"]["subtotal_derived"]
     # One unit off: the printed subtotal gives way to total - tax.
-    assert found["BRAND"]["subtotal"] == Decimal("50420.00")
+    assert found["THEATRE"]["subtotal"] == Decimal("38000.00")
     # A percentage without an amount is still taken for the tax.
     assert found["PERCENT"]["tax"] == Decimal("19.00")
-    assert found["LABELS"]["items"][0]["description"] == "VELA MAYOR"
+    assert found["BOOKBINDER"]["items"][0]["description"] == "CUERO REPUJADO"
 
 
 def test_routes(found):
@@ -114,7 +110,7 @@ def test_routes(found):
 
 
 def test_report(spark):
-    df = spark.createDataFrame([("a", NOTHING), ("b", LABELS)], "doc_id string, text string")
+    df = spark.createDataFrame([("a", NOTHING), ("b", BOOKBINDER)], "doc_id string, text string")
     got = {(r.doc_id, r.field): (r.status, r.pattern) for r in extraction_report(extract(df)).collect()}
     assert got["a", "number"] == ("no_encontrado", "-")
     assert got["a", "tax"] == ("por_defecto", "-")

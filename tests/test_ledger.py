@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -67,9 +66,30 @@ def test_fold_matches_a_plain_loop(spark, machine):
     data = [(j, e[1], e[0], e[2], e[3], e[4]) for j, es in logs.items() for e in es]
     df = spark.createDataFrame(
         data, "job_id long, event_id long, ts timestamp, kind string, message string, invoice_id long")
-    folded = lifecycle.current_state(lifecycle.fold_events(df, machine, piece=7), machine)
-    for r in folded.collect():
-        assert tuple(r)[1:] == _by_hand(machine, logs[r.job_id])
+    for sizes in ({"piece": 7}, {"ranges": 1}, {"ranges": 40, "piece": 5, "fan_in": 3}):
+        folded = lifecycle.current_state(lifecycle.fold_events(df, machine, **sizes), machine)
+        assert sorted(map(tuple, folded.collect())) == sorted((j, *_by_hand(machine, es)) for j, es in logs.items())
+
+
+def test_a_hot_instant_of_a_hot_job_is_spread(spark):
+    """A third of all events are one job's at one instant: its events fill a third of the ranges, none is crowded."""
+    events = spark.range(12_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("job_id"), F.col("id").alias("event_id"),
+        F.lit(datetime(2024, 1, 1)).alias("ts"), F.lit("start").alias("kind"), F.lit(None).cast("string").alias("message"),
+        F.lit(None).cast("long").alias("invoice_id"))
+    placed = lifecycle.in_ranges(events, "job_id", 12).groupBy("_range").agg(F.count("*").alias("n"), F.count_if("job_id = 0").alias("hot"))
+    sizes = placed.collect()
+    assert len(sizes) == 12 and max(r.n for r in sizes) < 2_000 and sum(r.hot > 0 for r in sizes) >= 3
+    state = lifecycle.current_state(lifecycle.fold_events(events, lifecycle.JOB, ranges=12), lifecycle.JOB)
+    assert state.filter("job_id = 0").first().attempts == 4_000 and state.count() == 8_001
+
+
+def test_fold_shuffles_events_twice_and_effects_up_the_tree(spark, sf_dir):
+    folded = lifecycle.fold_events(derived.job_events(load(spark, sf_dir, "events")), lifecycle.JOB, ranges=100)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(shuffled) == 4 and sum("rangepartitioning" in line for line in shuffled) == 1
+    assert sum("hashpartitioning(_range" in line for line in shuffled) == 1
 
 
 def test_dedup_keeps_first_processed_and_skips_known(spark):
@@ -202,31 +222,3 @@ def test_dated_sink_prunes(spark, tmp_path, sf_dir):
     back = spark.read.parquet(out).filter("year = 1997 AND month = 2")
     assert back.count() == derived.jobs(spark, sf_dir).filter("year(created_at) = 1997 AND month(created_at) = 2").count()
     assert "PartitionFilters: [isnotnull(year" in back._jdf.queryExecution().executedPlan().toString()
-
-
-def test_streams_over_several_batches(spark, sf_dir):
-    """Events arriving late and out of order, in many parts, give the batch results."""
-    root, _ = streams.scratch(spark, "test")
-    source = os.path.join(root, "events")
-    events = load(spark, sf_dir, "events")
-    cuts = [events.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == k) for k in range(4)]
-    out, checkpoint = os.path.join(root, "out"), os.path.join(root, "checkpoint")
-    for part in cuts:
-        part.coalesce(1).write.mode("append").parquet(source)
-        arriving = spark.readStream.schema(events.schema).parquet(source)
-        streams.fold_stream(derived.job_events(arriving), out, checkpoint)
-    got = streams.folded_state(spark, out)
-    want = lifecycle.fold_jobs(derived.job_events(events))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-
-
-def test_process_once_survives_redelivery(spark, sf_dir):
-    root, _ = streams.scratch(spark, "test")
-    source, out, checkpoint = (os.path.join(root, d) for d in ("docs", "out", "checkpoint"))
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "lang")
-    for part in (docs.filter("document_id < 100"), docs.filter("document_id < 150"), docs):
-        part.coalesce(1).write.mode("append").parquet(source)
-        arriving = spark.readStream.schema(docs.schema).parquet(source)
-        streams.process_once_stream(arriving, lambda df: df, out, checkpoint)
-    stored = spark.read.parquet(out)
-    assert stored.count() == docs.count() == stored.select("document_id").distinct().count()
