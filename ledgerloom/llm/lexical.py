@@ -190,7 +190,9 @@ def _search_set(docs: DataFrame, pairs: list, best: int) -> DataFrame | None:
     dealt = holding.withColumn("_row", F.monotonically_increasing_id()).join(strata, "m").withColumn(
         "block", F.pmod(F.xxhash64("_row"), F.col("blocks")).cast("long")
     )
-    index = stage(dealt.select("m", "block", "doc_id", "terms", "tfs").groupBy("m", "block").applyInArrow(_build(shared), _INDEX), "strata")
+    # Dealt by block: else a crowded stratum would stay in the task that the join put it in.
+    spread = dealt.select("m", "block", "doc_id", "terms", "tfs").repartition("m", "block")
+    index = stage(spread.groupBy("m", "block").applyInArrow(_build(shared), _INDEX), "strata")
 
     by_bound = Window.partitionBy("item").orderBy(F.desc("bound"), "m", "block")
     first = (
