@@ -23,9 +23,9 @@ def first_of(values: Column, keep: Callable[[Column], Column] | None = None) ->
     return F.get(F.filter(values, keep or (lambda v: v.isNotNull())), F.lit(0))
 
 
-def found(text: Column, regex: str, group: int = 1) -> Column:
-    """First capture of ``regex``; NULL (not an empty string) on a miss."""
-    return F.nullif(F.regexp_extract(text, regex, group), F.lit(""))
+def found(text: Column, regex: str | Column, group: int | Column = 1) -> Column:
+    """First capture of ``regex``, a pattern or a column of patterns; NULL (not an empty string) on a miss."""
+    return F.nullif(F.call_function("regexp_extract", text, F.lit(regex), F.lit(group)), F.lit(""))
 
 
 def settle(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.amounts import latam_amount
@@ -18,11 +18,15 @@ from ledgerloom.functions.binding import built_once, first_of, found, let, settl
 from ledgerloom.functions.dates import parse_date
 from ledgerloom.functions.text import lines_of, normalized
 from ledgerloom.operators import rules as R
-from ledgerloom.operators.rules import DEFAULT_RULES, Rule, rules_for
+from ledgerloom.operators.rules import DEFAULT_RULES, Known, Ref, Rule, Stored, Windows, in_plan
 from ledgerloom.schemas import AMOUNT
 
 # Marks put in front of, between and behind captures while matching.
 _AT, _SEP, _END = "\x01", "\x02", "\x03"
+_TEXT_HIT, _DATE_HIT = "struct<value:string,pattern:string>", "struct<value:date,pattern:string>"
+_AMOUNT_HIT = f"struct<value:{AMOUNT.simpleString()},pattern:string>"
+_ITEM = "struct<description:string," + ",".join(f"{f}:{AMOUNT.simpleString()}" for f in ("quantity", "unit_price", "tax", "total")) + ">"
+_ITEMS_HIT = f"struct<value:array<{_ITEM}>,pattern:string>"
 
 
 def canonical(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -40,13 +44,13 @@ def canonical(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 # ------------------------------------------------------------------- matching
-def _marked(text: Column, rule: Rule) -> Column:
+def _marked(text: Column, rule: Ref) -> Column:
     """Pieces of the text, each later one starting with the captures of a match."""
-    captures = _SEP.join(f"${g}" for g in range(1, rule.groups + 1))
-    return F.split(F.regexp_replace(text, rule.regex, f"{_AT}{captures}{_END}$0"), _AT)
+    captures = F.array_join(F.transform(F.sequence(F.lit(1), rule.groups), lambda g: F.concat(F.lit("$"), g.cast("string"))), _SEP)
+    return F.split(F.regexp_replace(text, rule.regex, F.concat(F.lit(_AT), captures, F.lit(_END + "$0"))), _AT)
 
 
-def match_groups(text: Column, rule: Rule) -> Column:
+def match_groups(text: Column, rule: Ref) -> Column:
     """Captures of every non-overlapping match: array<array<string>>."""
 
     def pick(pieces: Column) -> Column:
@@ -56,138 +60,107 @@ def match_groups(text: Column, rule: Rule) -> Column:
     return let(_marked(text, rule), pick)
 
 
-def _walk_matches(pieces: Column, start: Column, take) -> Column:
+def _walk_matches(pieces: Column, start: Column, take, windows: Windows) -> Column:
     """Fold over the matches with the text just before each of them.
 
     Carries the last characters along, so the cost stays linear in the text.
     """
 
+    def last(text: Column) -> Column:
+        return text if windows.context_chars is None else F.right(text, F.lit(windows.context_chars))
+
     def step(acc: Column, piece: Column) -> Column:
         excluded = acc["before"].rlike(R.AUTHORIZATION_BEFORE)
         value = F.translate(F.split_part(piece, F.lit(_END), F.lit(1)), _SEP, "-")
         body = F.split_part(piece, F.lit(_END), F.lit(-1))
-        return F.struct(
-            F.right(F.concat(acc["before"], body), F.lit(R.CONTEXT_CHARS)).alias("before"),
-            take(acc["out"], value, excluded).alias("out"),
-        )
+        return F.struct(last(F.concat(acc["before"], body)).alias("before"), take(acc["out"], value, excluded).alias("out"))
 
-    head = F.right(F.get(pieces, F.lit(0)), F.lit(R.CONTEXT_CHARS))
+    head = last(F.get(pieces, F.lit(0)))
     later = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     return F.aggregate(later, F.struct(head.alias("before"), start.alias("out")), step, lambda acc: acc["out"])
 
 
-def _first_allowed(pieces: Column) -> Column:
+def _first_allowed(pieces: Column, windows: Windows) -> Column:
     return _walk_matches(
         pieces, F.lit(None).cast("string"),
-        lambda out, value, excluded: F.coalesce(out, F.when(~excluded, value)),
+        lambda out, value, excluded: F.coalesce(out, F.when(~excluded, value)), windows,
     )
 
 
-def _first_match(text: Column, rule: Rule) -> Column:
-    first = found(text, rule.regex)
-    if rule.groups == 1:
-        return first
-    rest = [found(text, rule.regex, g) for g in range(2, rule.groups + 1)]
-    return F.when(first.isNotNull(), F.concat_ws("-", first, *rest))
+def _first_match(text: Column, rule: Ref) -> Column:
+    """First match; several captures are joined by a dash."""
+    groups = F.transform(F.sequence(F.lit(1), rule.groups), lambda g: found(text, rule.regex, g))
+    return F.when(rule.groups == 1, found(text, rule.regex)).otherwise(
+        let(groups, lambda parts: F.when(F.get(parts, F.lit(0)).isNotNull(), F.array_join(parts, "-")))
+    )
 
 
-def matches_in_context(text: Column, rule: Rule) -> Column:
+def matches_in_context(text: Column, rule: Rule, windows: Windows = Windows()) -> Column:
     """Every match with its value and whether authorisation wording excludes it."""
     empty = F.array().cast("array<struct<value:string,excluded:boolean>>")
-    return let(_marked(text, rule), lambda pieces: _walk_matches(
+    ref = Ref(F.lit(rule.name), F.lit(rule.regex), F.lit(rule.groups))
+    return let(_marked(text, ref), lambda pieces: _walk_matches(
         pieces, empty,
         lambda out, value, excluded: F.concat(
-            out, F.array(F.struct(value.alias("value"), excluded.alias("excluded")))),
+            out, F.array(F.struct(value.alias("value"), excluded.alias("excluded")))), windows,
     ))
 
 
-def _first_reading(candidates: Column, read) -> Column:
-    """First candidate (struct of raw and pattern) that can be read: struct(value, pattern)."""
-    return first_of(
-        F.transform(candidates, lambda x: F.struct(
-            read(x["raw"]).alias("value"), x["pattern"].alias("pattern"))),
-        lambda x: x["value"].isNotNull(),
-    )
-
-
-def _candidate(raw: Column, pattern: str) -> Column:
-    return F.struct(raw.alias("raw"), F.lit(pattern).alias("pattern"))
+def _hit(value: Column, pattern: Column) -> Column:
+    """struct(value, pattern), NULL without a value."""
+    return let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), pattern.alias("pattern"))))
 
 
 # --------------------------------------------------------------------- fields
-def number_hit(text: Column, rules: Iterable[Rule]) -> Column:
-    """First match of the first rule that matches outside authorisation wording."""
-    own = rules_for(rules, "number")
-    plain = F.array(*[_candidate(_first_match(text, r), r.name) for r in own])
-    walked = F.transform(
-        F.array(*[_candidate(_marked(text, r), r.name) for r in own]),
-        lambda x: F.struct(_first_allowed(x["raw"]).alias("raw"), x["pattern"].alias("pattern")),
-    )
+def number_hit(text: Column, rules: Known | Stored, windows: Windows = Windows()) -> Column:
+    """First match of the first rule that matches outside authorisation wording; later rules are not tried."""
+    plain = rules.first(lambda r: _hit(F.trim(_first_match(text, r)), r.name), _TEXT_HIT, "number")
+    walked = rules.first(lambda r: _hit(F.trim(let(_marked(text, r), lambda p: _first_allowed(p, windows))), r.name), _TEXT_HIT, "number")
     # The walk is needed only where such wording occurs at all.
-    return _first_reading(
-        F.when(~text.rlike(R.AUTHORIZATION_WORDS), plain).otherwise(walked), F.trim
-    )
+    return F.when(~text.rlike(R.AUTHORIZATION_WORDS), plain).otherwise(walked)
 
 
-def amount_hit(text: Column, rules: Iterable[Rule], field: str) -> Column:
-    return _first_reading(
-        F.array(*[_candidate(found(text, r.regex), r.name) for r in rules_for(rules, field)]),
-        latam_amount,
-    )
+def amount_hit(text: Column, rules: Known | Stored, field: str) -> Column:
+    """First rule whose first match is an amount; later rules are not tried."""
+    return rules.first(lambda r: _hit(latam_amount(found(text, r.regex)), r.name), _AMOUNT_HIT, field)
 
 
-def date_candidates(text: Column, lines: Column, rules: Iterable[Rule], field: str) -> Column:
-    """Texts that may hold the labelled date, best first.
+def date_hit(text: Column, lines: Column, rules: Known | Stored, field: str, windows: Windows = Windows()) -> Column:
+    """The labelled date: struct(value, pattern).
 
-    ``label: value`` in rule order, then for each line that is nothing but a
+    ``label: value`` in rule order, else for each line that is nothing but a
     label the lines just below it which are not labels themselves.
     """
-    labels = rules_for(rules, field)
-    all_labels = R.standalone_label(
-        *[r.regex for f in ("issue_date", "due_date") for r in rules_for(rules, f)]
-    )
-    own_labels = R.standalone_label(*[r.regex for r in labels])
 
-    def pair(raw: Column, pattern: Column) -> Column:
-        return F.struct(raw.alias("raw"), pattern.alias("pattern"))
+    def bars(fragments: Column) -> Column:
+        return R.standalone_label(F.array_join(fragments, "|"))
 
-    def named_by(name: str):
-        return lambda raw: pair(raw, F.lit(name))
+    all_labels = bars(rules.each(lambda r: r.regex, "issue_date", "due_date"))
+    own_labels = bars(rules.each(lambda r: r.regex, field))
 
-    inline = [
-        F.transform(F.regexp_extract_all(text, F.lit(R.inline_label(r.regex)), 1), named_by(r.name))
-        for r in labels
-    ]
+    def first_date(raws: Column) -> Column:
+        return first_of(F.transform(raws, parse_date))
+
+    inline = rules.first(
+        lambda r: _hit(first_date(F.regexp_extract_all(text, R.inline_label(r.regex), F.lit(1))), r.name), _DATE_HIT, field
+    )
 
     def label_name(line: Column) -> Column:
-        named = F.when(line.rlike(R.standalone_label(labels[0].regex)), F.lit(labels[0].name))
-        for r in labels[1:]:
-            named = named.when(line.rlike(R.standalone_label(r.regex)), F.lit(r.name))
+        named = rules.first(lambda r: F.when(F.rlike(line, R.standalone_label(r.regex)), r.name), "string", field)
         return F.concat(named, F.lit(R.NEXT_LINE_SUFFIX))
 
     def below(line: Column, at: Column) -> Column:
-        following = F.slice(lines, at + 2, F.lit(R.LINES_BELOW_LABEL))
-        usable = F.filter(following, lambda x: ~x.rlike(all_labels))
-        return F.when(
-            line.rlike(own_labels),
-            let(label_name(line), lambda name: F.transform(usable, lambda raw: pair(raw, name))),
-        )
-
-    none = F.array().cast("array<struct<raw:string,pattern:string>>")
-    next_line = F.when(
-        text.rlike(own_labels), F.flatten(F.array_compact(F.transform(lines, below)))
-    ).otherwise(none)
-    return F.concat(*inline, next_line)
-
+        size = F.size(lines) if windows.lines_below is None else F.lit(windows.lines_below)
+        usable = F.filter(F.slice(lines, at + 2, size), lambda x: ~F.rlike(x, all_labels))
+        return F.when(F.rlike(line, own_labels), _hit(first_date(usable), label_name(line)))
 
-def date_hit(candidates: Column) -> Column:
-    return _first_reading(candidates, parse_date)
+    return F.coalesce(inline, F.when(F.rlike(text, own_labels), first_of(F.transform(lines, below))))
 
 
 def any_date_hit(text: Column, chars: int | None = None) -> Column:
     """First date of the whole text, or of its first ``chars`` characters."""
     head = text if chars is None else F.left(text, F.lit(chars))
-    return _first_reading(F.array(_candidate(head, R.ANY_DATE_NAME)), parse_date)
+    return _hit(parse_date(head), F.lit(R.ANY_DATE_NAME))
 
 
 def _is_platform(line: Column) -> Column:
@@ -216,8 +189,8 @@ def _name_before_tax_id(prefix: Column) -> Column:
     return let(F.trim(F.btrim(F.trim(prefix), F.lit("-:., "))), read)
 
 
-def _name_above(lines: Column, at: Column) -> Column:
-    first = F.greatest(at - R.LINES_ABOVE, F.lit(0))
+def _name_above(lines: Column, at: Column, windows: Windows) -> Column:
+    first = F.lit(0) if windows.lines_above is None else F.greatest(at - windows.lines_above, F.lit(0))
     above = F.reverse(F.slice(lines, first + 1, at - first))
 
     def plausible(line: Column) -> Column:
@@ -232,12 +205,12 @@ def _name_above(lines: Column, at: Column) -> Column:
     return F.rtrim(first_of(above, plausible), F.lit(",;- "))
 
 
-def _named_tax_id(lines: Column) -> Column:
+def _named_tax_id(lines: Column, windows: Windows) -> Column:
     """First tax-id line (not of a billing platform) with a name on it or above it."""
 
     def at_line(line: Column, at: Column) -> Column:
         name = F.coalesce(
-            _name_before_tax_id(F.regexp_extract(line, R.TAX_ID_LINE, 1)), _name_above(lines, at)
+            _name_before_tax_id(F.regexp_extract(line, R.TAX_ID_LINE, 1)), _name_above(lines, at, windows)
         )
         return F.when(
             line.rlike(R.TAX_ID_LINE) & ~_is_platform(line),
@@ -258,8 +231,8 @@ def _first_company() -> Column:
 
 
 @built_once
-def _first_named_tax_id() -> Column:
-    return _named_tax_id(F.col("lines"))
+def _first_named_tax_id(windows: Windows) -> Column:
+    return _named_tax_id(F.col("lines"), windows)
 
 
 @built_once
@@ -276,7 +249,7 @@ def _placeholder_id(name: Column) -> Column:
     return F.concat(F.lit(R.NO_TAX_ID_PREFIX), F.coalesce(F.nullif(letters, F.lit("")), F.lit("UNKNOWN")))
 
 
-def with_supplier(docs: DataFrame) -> DataFrame:
+def with_supplier(docs: DataFrame, windows: Windows = Windows()) -> DataFrame:
     """Add ``supplier`` (name, tax_id), ``supplier_pattern`` and ``tax_id_pattern``.
 
     Issuer label, else company line, else the name next to a tax-id line; each
@@ -291,7 +264,7 @@ def with_supplier(docs: DataFrame) -> DataFrame:
     return (
         docs.withColumn("_issuer", _issuer())
         .withColumn("_company", F.when(F.col("_issuer").isNull(), _first_company()))
-        .withColumn("_anchored", F.when(F.coalesce(issuer, company).isNull(), _first_named_tax_id()))
+        .withColumn("_anchored", F.when(F.coalesce(issuer, company).isNull(), _first_named_tax_id(windows)))
         .withColumn("_name", F.coalesce(issuer, company, F.nullif(anchored["name"], F.lit(""))))
         .withColumn("_printed_id", F.when(
             name.isNotNull(), F.coalesce(anchored["tax_id"], _first_tax_id())))
@@ -318,7 +291,7 @@ def currency_of(text: Column) -> Column:
     )
 
 
-def item_rows(text: Column, rule: Rule) -> Column:
+def item_rows(text: Column, rule: Ref) -> Column:
     """Structured six-line item blocks; an unreadable cell stays NULL in its struct."""
 
     def block(group: Column) -> Column:
@@ -342,23 +315,30 @@ def aggregate_item(subtotal: Column, tax: Column) -> Column:
     ))
 
 
+def items_hit(text: Column, rules: Known | Stored) -> Column:
+    """Item rows of the first rule that finds any: struct(value, pattern)."""
+
+    def own(rule: Ref) -> Column:
+        return let(item_rows(text, rule), lambda rows: F.when(
+            F.size(rows) > 0, F.struct(rows.alias("value"), rule.name.alias("pattern"))))
+
+    return rules.first(own, _ITEMS_HIT, "items")
+
+
 # ------------------------------------------------------------------ whole row
 @built_once
-def _number(rules: tuple[Rule, ...]) -> Column:
-    return number_hit(F.col("norm"), rules)
+def _number(rules: Known | Stored, windows: Windows) -> Column:
+    return number_hit(F.col("norm"), rules, windows)
 
 
 @built_once
-def _date(rules: tuple[Rule, ...], field: str) -> Column:
-    candidates = date_candidates(F.col("norm"), F.col("lines"), rules, field)
-    if field == "issue_date":
-        head = F.col("norm")
-        candidates = F.concat(candidates, F.array(_candidate(head, R.ANY_DATE_NAME)))
-    return date_hit(candidates)
+def _date(rules: Known | Stored, field: str, windows: Windows) -> Column:
+    labelled = date_hit(F.col("norm"), F.col("lines"), rules, field, windows)
+    return F.coalesce(labelled, any_date_hit(F.col("norm"))) if field == "issue_date" else labelled
 
 
 @built_once
-def _amount(rules: tuple[Rule, ...], field: str) -> Column:
+def _amount(rules: Known | Stored, field: str) -> Column:
     return amount_hit(F.col("norm"), rules, field)
 
 
@@ -368,8 +348,8 @@ def _currency() -> Column:
 
 
 @built_once
-def _item_rows(rule: Rule) -> Column:
-    return item_rows(F.col("norm"), rule)
+def _items(rules: Known | Stored) -> Column:
+    return items_hit(F.col("norm"), rules)
 
 
 def _add_hits(docs: DataFrame, hits: dict[str, Column]) -> DataFrame:
@@ -382,18 +362,18 @@ def _add_hits(docs: DataFrame, hits: dict[str, Column]) -> DataFrame:
     return held.select("*", *parts).drop(*[f"_{name}" for name in hits])
 
 
-def add_number(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    return _add_hits(docs, {"number": _number(rules)})
+def add_number(docs: DataFrame, rules: Iterable[Rule] | Known | Stored, windows: Windows = Windows()) -> DataFrame:
+    return _add_hits(docs, {"number": _number(in_plan(rules), windows)})
 
 
-def add_dates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    return _add_hits(docs, {f: _date(rules, f) for f in ("issue_date", "due_date")})
+def add_dates(docs: DataFrame, rules: Iterable[Rule] | Known | Stored, windows: Windows = Windows()) -> DataFrame:
+    return _add_hits(docs, {f: _date(in_plan(rules), f, windows) for f in ("issue_date", "due_date")})
 
 
-def add_amounts(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+def add_amounts(docs: DataFrame, rules: Iterable[Rule] | Known | Stored) -> DataFrame:
     """Total, tax (0 by default) and the subtotal reconciled with both."""
     fields = {"total": "total", "tax": "tax", "printed_subtotal": "subtotal"}
-    hits = _add_hits(docs, {name: _amount(rules, field) for name, field in fields.items()})
+    hits = _add_hits(docs, {name: _amount(in_plan(rules), field) for name, field in fields.items()})
     return reconcile_subtotal(hits.withColumn("tax", F.coalesce("tax", F.lit(0).cast(AMOUNT))))
 
 
@@ -411,14 +391,15 @@ def reconcile_subtotal(rows: DataFrame) -> DataFrame:
     )
 
 
-def add_items(docs, rules):
-    rule = rules_for(rules, "items")[0]
+def add_items(docs: DataFrame, rules: Iterable[Rule] | Known | Stored) -> DataFrame:
+    """Printed item rows and the rule that found them, else the aggregate line."""
+    none = F.array().cast(f"array<{_ITEM}>")
     subtotal, rows = F.col("subtotal"), F.col("item_rows")
-    return docs.withColumn("item_rows", _item_rows(rule)).withColumn(
-        "items",
-        F.when(F.size(rows) > 0, rows)
-        .when(subtotal > 0, aggregate_item(subtotal, F.col("tax")))
-        .otherwise(F.slice(rows, 1, 0)),
+    return (
+        docs.withColumn("_items", _items(in_plan(rules)))
+        .withColumn("item_rows", F.coalesce("_items.value", none)).withColumn("item_pattern", F.col("_items.pattern"))
+        .drop("_items")
+        .withColumn("items", F.when(F.size(rows) > 0, rows).when(subtotal > 0, aggregate_item(subtotal, F.col("tax"))).otherwise(none))
     )
 
 
@@ -470,17 +451,22 @@ def route_extraction(rows: DataFrame) -> DataFrame:
     )
 
 
-def extract(docs: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES, text: str = "text") -> DataFrame:
+def extract(
+    docs: DataFrame, rules: Iterable[Rule] | DataFrame = DEFAULT_RULES, text: str = "text", windows: Windows = Windows()
+) -> DataFrame:
     """All fields, patterns, items and the route for every document.
 
-    Columns of ``docs`` other than the text are kept.
+    ``rules`` are rules of the program, or a table of rules (see ``rules.rule_table``), which is read when the job
+    runs. Columns of ``docs`` other than the text are kept.
     """
-    rules = tuple(rules)
-    found_fields = add_dates(add_number(with_supplier(canonical(docs, text)), rules), rules)
-    money = add_amounts(found_fields, rules).withColumn("_cur", _currency()).select(
+    known = in_plan(rules)
+    book = known if isinstance(known, Known) else Stored()
+    ready = known.attach(canonical(docs, text))
+    found_fields = add_dates(add_number(with_supplier(ready, windows), book, windows), book, windows)
+    money = add_amounts(found_fields, book).withColumn("_cur", _currency()).select(
         "*", F.col("_cur.code").alias("currency"), F.col("_cur.confident").alias("currency_confident")
     ).drop("_cur")
-    rows = settle(add_items(money, rules).drop("norm", "lines", text))
+    rows = settle(add_items(money, book).drop("norm", "lines", "_rules", text))
     return route_extraction(rows)
 
 
@@ -502,7 +488,6 @@ def extraction_report(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         .when(c("subtotal_pattern").isNotNull(), F.lit(R.OK)).otherwise(F.lit(R.NOT_FOUND))
     )
     tax_status = F.when(c("tax_pattern").isNotNull(), F.lit(R.OK)).otherwise(F.lit(R.DEFAULTED))
-    item_pattern = F.when(F.size("item_rows") > 0, F.lit("fila_estructurada"))
     report = F.array_compact(F.array(
         line("number", c("number_pattern")),
         line("supplier", c("supplier_pattern")),
@@ -512,7 +497,7 @@ def extraction_report(rows: DataFrame, key: str = "doc_id") -> DataFrame:
         line("due_date", c("due_date_pattern")),
         line("tax", c("tax_pattern"), tax_status),
         line("subtotal", c("subtotal_pattern"), subtotal_status),
-        line("items", item_pattern),
+        line("items", c("item_pattern")),
     ))
     return rows.select(key, F.inline(report))
 
@@ -520,9 +505,8 @@ def extraction_report(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 def pattern_hit_rates(report: DataFrame) -> DataFrame:
     """Documents per (field, status, pattern) and their share of the field, per mille."""
     counts = report.groupBy("field", "status", "pattern").agg(F.count("*").alias("documents"))
-    # At most one row per field, status and pattern is left, so the field totals are tiny.
-    totals = counts.groupBy("field").agg(F.sum("documents").alias("of_documents"))
-    return counts.join(totals, "field").select(
+    # A row per field, status and pattern is left, so a window over a field is tiny; nothing is planned twice.
+    return counts.withColumn("of_documents", F.sum("documents").over(Window.partitionBy("field"))).select(
         "field", "status", "pattern", "documents", "of_documents",
         F.expr("documents * 1000 div of_documents").alias("share_permille"),
     )

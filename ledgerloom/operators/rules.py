@@ -8,13 +8,15 @@ and the stand-alone matcher are built.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULE_DDL = "field string, rank int, name string, regex string, groups int"
+#: Rules of a stored table travel with every task, so their number is checked.
+MOST_RULES = 10_000
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,6 @@ AUTHORIZATION_WORDS = r"AUTORIZACI|RESOLUCI|NUMERACI|HABILITA"
 AUTHORIZATION_BEFORE = (
     r"(?Ud)\b(?:AUTORIZACI\w*|RESOLUCI\w*|NUMERACI\w*|HABILITA)\b[^:\n]{0,40}$"
 )
-CONTEXT_CHARS = 60
 
 _TAX_NUMBER = r"([\d]{1,12}(?:[.\-][\d]{1,6}){0,3}(?:-[\d]{1,2})?)"
 TAX_ID = rf"(?Ud)N\.?I\.?T\.?\s*(?:DEL\s+EMISOR\s*)?[:.\-\s]*{_TAX_NUMBER}"
@@ -86,8 +87,7 @@ PLATFORM = (
 )
 NOT_A_NAME_START = r"^(?:TEL|CEL|EMAIL|WWW\.|HTTP|DIR)"
 NOT_A_NAME = r"(?Ud)^[\d\s.,:/-]+$"
-LINES_ABOVE = 5
-LINES_BELOW_LABEL = 5
+CONTEXT_CHARS, LINES_ABOVE, LINES_BELOW_LABEL = 60, 5, 5
 
 CURRENCY = r"(?U)\b(COP|USD|EUR|GBP)\b"
 REGIONAL_MARKERS = r"NIT|DIAN|COP|BOGOT|MEDELL|CUFE"
@@ -121,7 +121,7 @@ def rule_table(spark: SparkSession, rules: Iterable[Rule] = DEFAULT_RULES) -> Da
 
 
 def load_rules(table: DataFrame) -> tuple[Rule, ...]:
-    """Read rules back from a table. Rules become expressions of the plan, so they pass through the driver."""
+    """Rules of a table as part of the program: their patterns become constants of the plan."""
     rows = table.select("field", "rank", "name", "regex", "groups").collect()
     return tuple(sorted((Rule(*r) for r in rows), key=lambda r: (r.field, r.rank)))
 
@@ -130,38 +130,110 @@ def rules_for(rules: Iterable[Rule], field: str) -> list[Rule]:
     return sorted((r for r in rules if r.field == field), key=lambda r: r.rank)
 
 
-def inline_label(fragment: str) -> str:
+# ------------------------------------------------------------- rules in a plan
+@dataclass(frozen=True)
+class Windows:
+    """How far around a match the rules look; None is without end.
+
+    The defaults are the system's that this one follows.
+    """
+
+    context_chars: int | None = CONTEXT_CHARS
+    lines_above: int | None = LINES_ABOVE
+    lines_below: int | None = LINES_BELOW_LABEL
+
+
+@dataclass(frozen=True)
+class Ref:
+    """One rule inside an expression: its parts are columns."""
+
+    name: Column
+    regex: Column
+    groups: Column
+
+
+@dataclass(frozen=True)
+class Known:
+    """Rules of the program: every pattern is a constant."""
+
+    rules: tuple[Rule, ...]
+
+    def _refs(self, *fields: str) -> list[Ref]:
+        return [Ref(F.lit(r.name), F.lit(r.regex), F.lit(r.groups)) for f in fields for r in rules_for(self.rules, f)]
+
+    def attach(self, docs: DataFrame) -> DataFrame:
+        return docs
+
+    def each(self, take: Callable[[Ref], Column], *fields: str) -> Column:
+        """What every rule of the fields gives, in their order."""
+        return F.array(*[take(r) for r in self._refs(*fields)])
+
+    def first(self, take: Callable[[Ref], Column], kind: str, field: str) -> Column:
+        """What the first rule gives that gives anything; later ones are not tried."""
+        return F.coalesce(F.lit(None).cast(kind), *[take(r).cast(kind) for r in self._refs(field)])
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Rules of a table: a column of all its rows, read when the job runs and sent along with its tasks."""
+
+    column: str = "_rules"
+    table: DataFrame | None = None
+
+    def attach(self, docs: DataFrame) -> DataFrame:
+        row = F.struct(*[F.col(c.split()[0]) for c in RULE_DDL.split(", ")])
+        many = F.raise_error(F.lit(f"more than {MOST_RULES} rules"))
+        rows = self.table.agg(
+            F.when(F.count("*") <= MOST_RULES, F.array_sort(F.collect_list(row))).otherwise(many).alias("rules")
+        )
+        return docs.withColumn(self.column, rows.scalar())
+
+    def _own(self, field: str) -> Column:
+        return F.filter(F.col(self.column), lambda r: r["field"] == field)
+
+    def each(self, take: Callable[[Ref], Column], *fields: str) -> Column:
+        parts = [F.transform(self._own(f), lambda r: take(Ref(r["name"], r["regex"], r["groups"]))) for f in fields]
+        return F.concat(*parts)
+
+    def first(self, take: Callable[[Ref], Column], kind: str, field: str) -> Column:
+        return F.aggregate(
+            self._own(field), F.lit(None).cast(kind),
+            lambda found, r: F.coalesce(found, take(Ref(r["name"], r["regex"], r["groups"])).cast(kind)),
+        )
+
+
+def in_plan(rules: Iterable[Rule] | DataFrame | Known | Stored) -> Known | Stored:
+    """Rules of the program, or a table of rules, ready for use in expressions."""
+    if isinstance(rules, (Known, Stored)):
+        return rules
+    return Stored(table=rules) if isinstance(rules, DataFrame) else Known(tuple(rules))
+
+
+def inline_label(fragment: Column) -> Column:
     """``label: value`` on a line; the value may start on the next line."""
-    return rf"(?Umd)^\s*{fragment}\s*:\s*([^\n]+)$"
+    return F.concat(F.lit(r"(?Umd)^\s*"), fragment, F.lit(r"\s*:\s*([^\n]+)$"))
 
 
-def standalone_label(*fragments: str) -> str:
-    """A line holding nothing but one of the labels."""
-    return rf"(?Umd)^\s*(?:{'|'.join(fragments)})\s*:?\s*$"
+def standalone_label(fragment: Column) -> Column:
+    """A line holding nothing but the label, or one of several joined by bars."""
+    return F.concat(F.lit(r"(?Umd)^\s*(?:"), fragment, F.lit(r")\s*:?\s*$"))
 
 
-def match_regex(rule: Rule) -> str:
+def match_regex(field: Column, regex: Column) -> Column:
     """What a rule looks for on its own (labels: either of their two forms)."""
-    if rule.field in ("issue_date", "due_date"):
-        return rf"(?Umd)^\s*{rule.regex}\s*(?::\s*[^\n]+|:?\s*)$"
-    return rule.regex
+    label = F.concat(F.lit(r"(?Umd)^\s*"), regex, F.lit(r"\s*(?::\s*[^\n]+|:?\s*)$"))
+    return F.when(field.isin("issue_date", "due_date"), label).otherwise(regex)
 
 
-def rule_hits(docs: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
-    """Documents each rule matches anywhere, before ranking: (field, rank, name, documents).
+def rule_hits(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """Documents each rule of a table matches anywhere, before ranking: (field, rank, name, documents).
 
-    ``docs`` needs a ``norm`` column. The per-document flags are summed in one
-    partial aggregation, so no row per document and rule is ever shuffled.
+    ``docs`` needs a ``norm`` column. Matches are counted per rule before the shuffle, so no row per
+    document and rule ever travels; a rule without matches has 0.
     """
-    rules = list(rules)
-    counts = docs.agg(
-        *[F.count_if(F.col("norm").rlike(match_regex(r))).alias(f"r{i}") for i, r in enumerate(rules)]
-    )
-
-    def entry(i: int, r: Rule) -> Column:
-        return F.struct(
-            F.lit(r.field).alias("field"), F.lit(r.rank).alias("rank"),
-            F.lit(r.name).alias("name"), F.col(f"r{i}").alias("documents"),
-        )
-
-    return counts.select(F.inline(F.array(*[entry(i, r) for i, r in enumerate(rules)])))
+    key = ["field", "rank", "name"]
+    held = in_plan(table).attach(docs.select("norm"))
+    matched = F.filter("_rules", lambda r: F.rlike("norm", match_regex(r["field"], r["regex"])))
+    hits = held.select(F.inline(F.transform(matched, lambda r: F.struct(*[r[k].alias(k) for k in key]))))
+    counts = hits.groupBy(*key).agg(F.count("*").alias("documents"))
+    return table.select(*key).join(counts, key, "left").select(*key, F.coalesce("documents", F.lit(0)).alias("documents"))

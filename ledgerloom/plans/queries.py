@@ -22,6 +22,7 @@ from ledgerloom.operators import (
     validate,
 )
 from ledgerloom.plans.portable import portable
+from ledgerloom.session import fresh_dir
 from ledgerloom.sources import derived
 from ledgerloom.sources.tables import load
 from ledgerloom.streaming import jobs as streams
@@ -220,8 +221,8 @@ def extract_currency(spark, sf):
 
 @query
 def extract_item_rows(spark, sf):
-    rule = rules.rules_for(rules.DEFAULT_RULES, "items")[0]
-    rows = _canonical(spark, sf).select("doc_id", extract.item_rows(F.col("norm"), rule).alias("rows"))
+    found = extract.items_hit(F.col("norm"), rules.in_plan(rules.DEFAULT_RULES))["value"]
+    rows = _canonical(spark, sf).select("doc_id", found.alias("rows"))
     return rows.select("doc_id", F.posexplode("rows").alias("position", "i")).select("doc_id", "position", "i.*")
 
 
@@ -259,8 +260,10 @@ def pattern_hit_rates(spark, sf):
 
 @query
 def rule_table(spark, sf):
-    """The stored rules, read back and counted over every printed invoice."""
-    return rules.rule_hits(_canonical(spark, sf), rules.load_rules(rules.rule_table(spark)))
+    """A stored table of rules, read when the job runs and counted over every printed invoice."""
+    at = fresh_dir(spark, "rules")
+    rules.rule_table(spark).write.parquet(at)
+    return rules.rule_hits(_canonical(spark, sf), spark.read.parquet(at))
 
 
 # ------------------------------------------------------------ fusion and contract

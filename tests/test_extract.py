@@ -128,14 +128,80 @@ def test_authorization_context(spark):
     assert [(m.value, m.excluded) for m in row.m] == [("330021", True), ("FE22", False)]
 
 
-def test_user_rules(spark):
-    extra = R.Rule("number", 0, "orden", r"(?Ud)ORDEN\s+(\d+)")
-    table = R.rule_table(spark).union(R.rule_table(spark, [extra]))
+@pytest.fixture(scope="module")
+def stored_rules(spark, tmp_path_factory):
+    """A stored table with rules of the user's own beside the given ones."""
+    at = str(tmp_path_factory.mktemp("rules") / "table")
+    own = [
+        R.Rule("number", 0, "orden", r"(?Ud)ORDEN\s+(\d+)"),
+        R.Rule("items", 2, "fila_con_barras", r"(?Umd)^\s*([A-Z][^\n|]{2,90})\|(\d+)\|([\d.,]+)\|([\d.,]+)\|([\d.,]+)\s*$", 5),
+        R.Rule("issue_date", 9, "dia_de_corte", r"DIA\s+DE\s+CORTE"),
+        R.Rule("total", 9, "importe", r"(?Ud)IMPORTE\s*:?\s*([\d][\d.,]*)"),
+    ]
+    R.rule_table(spark).union(R.rule_table(spark, own)).write.parquet(at)
+    return spark.read.parquet(at)
+
+
+OWN = """Orden 4711
+Emisor: Orilla Norte S.A.S
+Día de corte
+19/11/2025
+Clavo|3|10,00|0,00|30,00
+Remache|1|5,00|0,95|5,00
+Importe 35,95
+"""
+
+
+def test_stored_rules_of_the_user(spark, stored_rules, monkeypatch):
+    """Rules of a table need no collect: they are read when the job runs, and the report names them."""
+    df = spark.createDataFrame([("a", OWN), ("b", "Orden 4711\n" + NO_ID)], "doc_id string, text string")
+    monkeypatch.setattr(type(df), "collect", lambda self: pytest.fail("collected"))
+    rows = extract(df, stored_rules)
+    report = extraction_report(rows)
+    monkeypatch.undo()
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got["b"]["number"] == "4711" and got["b"]["total"] == Decimal("88450.30")
+    assert [(i["description"], i["total"]) for i in got["a"]["items"]] == [("CLAVO", Decimal("30.00")), ("REMACHE", Decimal("5.00"))]
+    named = {(r.doc_id, r.field): r.pattern for r in report.collect()}
+    assert named["a", "number"] == "orden" and named["a", "items"] == "fila_con_barras" and named["a", "total"] == "importe"
+    assert named["a", "issue_date"] == "dia_de_corte_linea_siguiente"
+
+
+def test_stored_rules_give_what_the_programs_rules_give(spark):
+    df = spark.createDataFrame(list(TEXTS.items()), "doc_id string, text string")
+    own, stored = (extract(df, r).drop("_rules") for r in (R.DEFAULT_RULES, R.rule_table(spark)))
+    assert own.columns == stored.columns
+    assert sorted(map(str, own.collect())) == sorted(map(str, stored.collect()))
+
+
+def test_stored_rules_join_nothing_and_their_number_is_checked(spark, stored_rules, monkeypatch):
+    df = spark.createDataFrame([("a", OWN)], "doc_id string, text string")
+    plan = extract(df, stored_rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Subquery" in plan
+    monkeypatch.setattr(R, "MOST_RULES", 3)
+    with pytest.raises(Exception, match="more than 3 rules"):
+        extract(df, stored_rules).collect()
+
+
+def test_rules_loaded_into_the_program(spark, stored_rules):
     df = spark.createDataFrame([(1, "Orden 4711\n" + NO_ID)], "doc_id int, text string")
-    (row,) = extract(df, R.load_rules(table)).select("number", "number_pattern").collect()
+    (row,) = extract(df, R.load_rules(stored_rules)).select("number", "number_pattern").collect()
     assert tuple(row) == ("4711", "orden")
 
 
+def test_windows_can_be_widened(spark):
+    """Beyond five lines and sixty characters only if asked for."""
+    far = "\n".join(["Nombre Largo Plazo", *["12"] * 7, "NIT 904222333-3", "Fecha de Emisión", *["-"] * 7, "05/06/2026"])
+    wording = "Resolución " + "x" * 25 + " factura electrónica de venta No. 330021\n"
+    df = spark.createDataFrame([(1, far), (2, wording)], "doc_id int, text string")
+    near = {r.doc_id: r for r in extract(df).collect()}
+    wide = {r.doc_id: r for r in extract(df, windows=R.Windows(None, None, None)).collect()}
+    assert near[1].supplier is None and wide[1].supplier.name == "NOMBRE LARGO PLAZO"
+    assert near[1].issue_date_pattern == "primera_fecha_del_documento"
+    assert wide[1].issue_date_pattern == "fecha_de_emision_linea_siguiente"
+    assert near[2].number is None and wide[2].number is None
+
+
 def test_internal_marks_in_text(spark):
     df = spark.createDataFrame([(1, NO_ID.replace("Orilla", "Or\x01il\x02la"))], "doc_id int, text string")
     (row,) = extract(df).select("number", "total").collect()
