@@ -11,6 +11,7 @@ from ledgerloom.functions.binding import settle
 from ledgerloom.operators.contract import check_values
 from ledgerloom.operators.extract import aggregate_item, extract
 from ledgerloom.operators.rules import DEFAULT_RULES, REQUIRED_FIELDS, Rule
+from ledgerloom.session import stored
 
 SUPPLIER = "struct<name:string,tax_id:string,address:string,phone:string,email:string>"
 MONEY_BLOCK = "struct<subtotal:decimal(30,10),tax:decimal(30,10),total:decimal(30,10)>"
@@ -47,17 +48,17 @@ def rules_payload(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 def fuse_fallback(rules: DataFrame, fallback: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rules first, the fallback's row or fields where the rules fell short.
 
-    ``fallback`` holds contract-checked payloads. Only documents that are not
-    FULL take part in the join. Each field, the money block, the supplier and
-    the items move as wholes. ``provenance`` says where the row came from and
+    ``fallback`` holds contract-checked payloads. The extraction is stored once, by route; only documents
+    that fell short are joined and so shuffled, all others pass beside the join. Each field, the money block,
+    the supplier and the items move as wholes. ``provenance`` says where the row came from and
     ``money_from`` / ``items_from`` expose mixed rows.
     """
     f = fallback.filter("is_valid").select(key, F.struct(*FIELDS).alias("f"))
-    joined = rules.join(
-        f.withColumnRenamed(key, "_k"),
-        (F.col(key) == F.col("_k")) & F.col("route").isin("PARTIAL", "NONE", "NO_ITEMS"),
-        "left",
-    )
+    held = stored(rules, "extracted", "route")
+    short = F.coalesce(F.col("route").isin("PARTIAL", "NONE", "NO_ITEMS"), F.lit(False))
+    filled = held.filter(short).join(f, key, "left")
+    whole = held.filter(~short).withColumn("f", F.lit(None).cast(f.schema["f"].dataType))
+    joined = filled.unionByName(whole)
     fb = F.col("f")
     partial = (F.col("route") == "PARTIAL") & fb.isNotNull()
     replaced = F.col("route").isin("NONE", "NO_ITEMS") & fb.isNotNull()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_LIMITS = (1, 100)
+#: Order of pages, each column from the newest down.
+NEWEST = ("issue_date", "created_at", "invoice_id")
 UNKNOWN_SUPPLIER = "(unknown)"
 SUMMARY = (
     "invoice_id", "document_id", "number", "issue_date", "due_date", "currency",
@@ -57,21 +59,120 @@ def listing(
     }).select(*SUMMARY, "created_at")
 
 
-def page(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """One page, newest first, each row with the count of the whole filtered set.
+def _newest() -> list[Column]:
+    return [F.col(c).desc() for c in NEWEST]
 
-    The order ends with the id, so pages never overlap. Sorting keeps only the
-    top offset+limit rows per task; the count is a separate scalar aggregate.
-    """
+
+def _check_page(limit: int, offset: int) -> None:
     if not PAGE_LIMITS[0] <= limit <= PAGE_LIMITS[1]:
         raise ValueError("limit must be within [1, 100]")
     if offset < 0:
         raise ValueError("offset must be >= 0")
-    newest = [F.col("issue_date").desc(), F.col("created_at").desc(), F.col("invoice_id").desc()]
-    top = rows.orderBy(*newest).offset(offset).limit(limit)
+
+
+def page(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """One page, newest first, each row with the count of the whole filtered set.
+
+    The order ends with the id, so pages never overlap. Sorting keeps only the top offset+limit rows per
+    task, so this is for the first pages; ``page_at`` and ``page_after`` reach any depth.
+    """
+    _check_page(limit, offset)
+    top = rows.orderBy(*_newest()).offset(offset).limit(limit)
     return top.withColumn("total_count", rows.agg(F.count("*")).scalar())
 
 
+def write_page_index(rows: DataFrame, path: str, ranges: int | None = None) -> None:
+    """A listing in page order: sampled ranges of the sort key, a folder each, newest first."""
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        rows.repartitionByRange(ranges, *_newest()).withColumn("page_range", F.spark_partition_id())
+        .write.mode("overwrite").partitionBy("page_range").parquet(path)
+    )
+
+
+def page_at(index: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """One page at any depth: only the ranges that hold it are read, sorted and cut.
+
+    ``index`` is what ``write_page_index`` wrote. The sizes of its ranges come to the driver, a number a range.
+    """
+    _check_page(limit, offset)
+    sizes = index.groupBy("page_range").agg(F.count("*").alias("n")).orderBy("page_range").collect()
+    total, before, wanted = sum(r["n"] for r in sizes), 0, []
+    skip = 0
+    for r in sizes:
+        if before + r["n"] > offset and before < offset + limit:
+            skip = skip if wanted else offset - before
+            wanted.append(r["page_range"])
+        before += r["n"]
+    held = index.filter(F.col("page_range").isin(wanted)).drop("page_range")
+    return held.orderBy(*_newest()).offset(skip).limit(limit).withColumn("total_count", F.lit(total).cast("long"))
+
+
+def page_after(rows: DataFrame, last: tuple, limit: int = 20) -> DataFrame:
+    """The page after a row given by its (issue_date, created_at, invoice_id); the date bound reaches the scan."""
+    _check_page(limit, 0)
+    day, made, number = (F.lit(v) for v in last)
+    older = F.struct(*NEWEST) < F.struct(day.alias("issue_date"), made.alias("created_at"), number.alias("invoice_id"))
+    return rows.filter((F.col("issue_date") <= day) & older).orderBy(*_newest()).limit(limit)
+
+
+# ----------------------------------------------------------------- search index
+def _trigrams(text: Column) -> Column:
+    """Different runs of three characters of a lower-cased text."""
+    low = F.lower(text)
+    places = F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1)))
+    return F.array_distinct(F.filter(F.transform(places, lambda i: F.substr(low, i, F.lit(3))), lambda g: F.length(g) == 3))
+
+
+def write_search_index(invoices: DataFrame, suppliers: DataFrame, path: str, buckets: int = 64) -> None:
+    """Where each run of three characters occurs: numbers by invoice, names and tax ids by supplier.
+
+    The rows lie in folders by a hash of the run, so a search reads the folders of its own runs only.
+    """
+
+    def of(rows: DataFrame, field: str, key: str, text: str) -> DataFrame:
+        return rows.select(F.lit(field).alias("field"), F.col(key).cast("long").alias("id"), F.explode(_trigrams(F.col(text))).alias("gram"))
+
+    grams = (
+        of(invoices, "number", "invoice_id", "number").unionByName(of(suppliers, "name", "supplier_id", "name"))
+        .unionByName(of(suppliers, "tax_id", "supplier_id", "tax_id")).distinct()
+    )
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")
+    grams.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def search_grams(search: str) -> list[str]:
+    """Runs of three characters that any match of a search text must hold; none for short or wild ones."""
+    literal = re.sub(r"\\([%_\\])", lambda m: m.group(1) if m.group(1) not in "%_" else "\0", _pattern(search)[1:-1])
+    runs = re.split(r"[%_\0]", literal.lower())
+    return sorted({run[i:i + 3] for run in runs for i in range(len(run) - 2)})
+
+
+def listing_by_index(
+    invoices: DataFrame, suppliers: DataFrame, index: DataFrame, search: str, buckets: int = 64, **dates: str | None
+) -> DataFrame:
+    """``listing`` with a search text, over the invoices that the index cannot rule out.
+
+    A field that matches holds every run of the text's literal parts; those that do are joined to the
+    invoices, and the search itself then decides. A text without three literal characters in a row is searched by a scan.
+    """
+    grams = search_grams(search)
+    if not grams:
+        return listing(invoices, suppliers, search, **dates)
+    rows = invoices.sparkSession.createDataFrame([(g,) for g in grams], "gram string")
+    own = [r[0] for r in rows.select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int")).distinct().collect()]
+    held = (
+        index.filter(F.col("bucket").isin(own) & F.col("gram").isin(grams))
+        .groupBy("field", "id").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
+    )
+    by_number = held.filter("field = 'number'").select(F.col("id").alias("invoice_id"))
+    by_supplier = held.filter("field <> 'number'").select(F.col("id").alias("supplier_id")).distinct()
+    near = (
+        invoices.join(by_number, "invoice_id", "left_semi").unionByName(invoices.join(by_supplier, "supplier_id", "left_semi")).distinct()
+    )
+    return listing(near, suppliers, search, **dates)
+
+
 def invoice_detail(invoices: DataFrame, suppliers: DataFrame, items: DataFrame) -> DataFrame:
     """Invoice, supplier and item, a row per item; an invoice without items has one row without.
 

@@ -227,7 +227,8 @@ SELECT doc_id, {n('format')} AS format, {n('family')} AS document_type, {n('own_
 sql("ingest_safe_filename", f"WITH {FILES} SELECT doc_id, safe_name AS filename FROM kinds")
 sql("ingest_storage_layout", f"""
 WITH {FILES}
-SELECT doc_id, strftime(received_at, '%Y/%m') || '/' || k || '__' || safe_name AS storage_path FROM kinds""")
+SELECT doc_id, strftime(received_at, '%Y/%m') || '/' || k || '__' || safe_name AS storage_path,
+  CAST(year(received_at) AS INTEGER) AS year, CAST(month(received_at) AS INTEGER) AS month FROM kinds""")
 # Registration takes files up to the default limit, which none of these exceeds.
 ALL_FILES = FILES.replace(f"size_bytes > {MAX_BYTES}", "size_bytes > 10485760")
 sql("ingest_register", f"WITH {ALL_FILES} {REGISTERED}")
@@ -586,13 +587,14 @@ FROM ranked WHERE rn = 1 AND tax_id NOT IN
   (SELECT CAST(900000000 + s_suppkey % 40 AS VARCHAR) FROM supplier WHERE s_suppkey % 40 = 3)""")
 sql("duplicate_invoice_reject", f"""
 WITH {INVOICES},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY supplier_id, number ORDER BY created_at, invoice_id) AS rn FROM invoices)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY supplier_id, number ORDER BY document_id % 4 <> 0, created_at, invoice_id) AS rn FROM invoices)
 SELECT invoice_id, supplier_id, number, CASE WHEN rn = 1 THEN 'kept' ELSE 'rejected' END AS outcome,
   CASE WHEN rn = 1 THEN '' ELSE 'persistence_error' END AS code, 'false' AS retryable FROM ranked""")
 sql("process_once", f"""
 WITH {INVOICES}, {JOBS}
 SELECT job_id, j.document_id, {n('invoice_id')} AS stored_invoice_id,
-  CASE WHEN status = 'COMPLETED' THEN 'skip' WHEN invoice_id IS NOT NULL AND status = 'FAILED' THEN 'refuse'
+  CASE WHEN status = 'COMPLETED' THEN 'skip' WHEN j.document_id NOT IN (SELECT l_orderkey FROM lineitem) THEN 'document_not_found'
+    WHEN invoice_id IS NOT NULL AND status = 'FAILED' THEN 'refuse'
     WHEN invoice_id IS NOT NULL THEN 'resume' ELSE 'process' END AS action
 FROM jobs j LEFT JOIN (SELECT * FROM invoices WHERE document_id % 2 = 0) i ON j.document_id = i.document_id""")
 sql("build_invoice_tables", f"""
@@ -617,7 +619,7 @@ LISTED = f"""
 FROM invoices LEFT JOIN suppliers USING (supplier_id)"""
 sql("invoice_search", f"""
 WITH {INVOICES} {SUPPLIERS}
-SELECT {LISTED} WHERE number ILIKE '%e1_3%' OR name ILIKE '%e1_3%' OR tax_id ILIKE '%e1_3%'""")
+SELECT {LISTED} WHERE number ILIKE '%ndina _ s.a%' OR name ILIKE '%ndina _ s.a%' OR tax_id ILIKE '%ndina _ s.a%'""")
 sql("invoice_date_range", f"""
 WITH {INVOICES} {SUPPLIERS}
 SELECT {LISTED} WHERE issue_date BETWEEN DATE '1997-02-01' AND DATE '1997-02-28'""")
@@ -626,7 +628,7 @@ WITH {INVOICES} {SUPPLIERS},
 found AS (SELECT * FROM invoices LEFT JOIN suppliers USING (supplier_id) WHERE name ILIKE '%andina%')
 SELECT invoice_id, number, {v('issue_date')} AS issue_date, name AS supplier_name, {m('total_c')} AS total,
   (SELECT count(*) FROM found) AS total_count
-FROM found f ORDER BY f.issue_date DESC, created_at DESC, invoice_id DESC LIMIT 20 OFFSET 40""")
+FROM found f ORDER BY f.issue_date DESC, created_at DESC, invoice_id DESC LIMIT 20 OFFSET 1000""")
 sql("invoice_detail", f"""
 WITH {INVOICES} {SUPPLIERS},
 lined AS (SELECT invoice_id, position, 'ARTICULO ' || part_id AS description, quantity || '.000' AS quantity,

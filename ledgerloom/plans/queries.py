@@ -23,7 +23,7 @@ from ledgerloom.operators import (
 )
 from ledgerloom.plans.portable import portable
 from ledgerloom.session import fresh_dir
-from ledgerloom.sources import derived
+from ledgerloom.sources import derived, sinks
 from ledgerloom.sources.tables import load
 from ledgerloom.streaming import jobs as streams
 from ledgerloom.streaming import ledger
@@ -65,9 +65,14 @@ def ingest_safe_filename(spark, sf):
 
 @query
 def ingest_storage_layout(spark, sf):
+    """Files' storage keys in a dated tree, written twice and read back by its folders."""
     f = derived.file_table(spark, sf)
-    return f.select("doc_id", ingest.storage_key(
+    rows = f.select("doc_id", "received_at", ingest.storage_key(
         F.col("doc_id"), F.col("filename"), F.col("received_at")).alias("storage_path"))
+    at = fresh_dir(spark, "dated")
+    for _ in range(2):  # a rerun replaces its own folders
+        sinks.write_dated(rows, at, "received_at")
+    return sinks.read_dated(spark, at).select("doc_id", "storage_path", "year", "month")
 
 
 @query
@@ -430,14 +435,22 @@ def supplier_dedup(spark, sf):
 
 @query
 def duplicate_invoice_reject(spark, sf):
-    return persist.reject_duplicates(derived.invoices(spark, sf))
+    """Invoices of every fourth document are stored first, dealt by (supplier, number); the others meet them there."""
+    invoices = derived.invoices(spark, sf)
+    first = F.col("document_id") % 4 == 0
+    early = persist.reject_duplicates(invoices.filter(first))
+    at = fresh_dir(spark, "ledger")
+    kept = early.filter("outcome = 'kept'").select("supplier_id", "number", "invoice_id")
+    ledger_rows = sinks.write_bucketed(kept, f"ledger_{at.rsplit('-', 1)[-1]}", at, ("supplier_id", "number"), 8)
+    return early.unionByName(persist.reject_duplicates(invoices.filter(~first), ledger_rows.hint("merge")))
 
 
 @query
 def process_once(spark, sf):
-    """Every job against stored invoices (those of even documents are stored already)."""
+    """Every job against stored invoices (those of even documents are stored already) and the documents with lines."""
     stored = derived.invoices(spark, sf).filter("document_id % 2 = 0")
-    actions = persist.next_action(derived.jobs(spark, sf), stored)
+    documents = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"))
+    actions = persist.next_action(derived.jobs(spark, sf), stored, documents)
     return _filled(actions, "stored_invoice_id")
 
 
@@ -484,7 +497,12 @@ def _listing(spark, sf, **criteria):
 
 @query
 def invoice_search(spark, sf):
-    return _filled(_listing(spark, sf, search=" e1_3 "), "due_date").drop("created_at")
+    """Contains-search with a wildcard, over what an index of three-character runs leaves."""
+    invoices, suppliers = derived.invoices(spark, sf), derived.suppliers(spark, sf)
+    at = fresh_dir(spark, "grams")
+    reports.write_search_index(invoices, suppliers, at, 16)
+    rows = reports.listing_by_index(invoices, suppliers, spark.read.parquet(at), " ndina _ s.a", 16)
+    return _filled(rows, "due_date").drop("created_at")
 
 
 @query
@@ -495,7 +513,10 @@ def invoice_date_range(spark, sf):
 
 @query
 def invoice_page(spark, sf):
-    rows = reports.page(_listing(spark, sf, search="andina"), limit=20, offset=40)
+    """A deep page, from the listing in page order: one range of it is read and sorted."""
+    at = fresh_dir(spark, "pages")
+    reports.write_page_index(_listing(spark, sf, search="andina"), at)
+    rows = reports.page_at(spark.read.parquet(at), limit=20, offset=1000)
     return rows.select("invoice_id", "number", "issue_date", "supplier_name", "total", "total_count")
 
 

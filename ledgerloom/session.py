@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "ledgerloom", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -49,3 +49,10 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused sub-folder of the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def stored(rows: DataFrame, label: str, *partition_by: str) -> DataFrame:
+    """Rows written below the shared folder and read again: what follows may read them several times."""
+    at = fresh_dir(rows.sparkSession, label)
+    rows.write.partitionBy(*partition_by).parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)

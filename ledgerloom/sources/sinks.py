@@ -50,9 +50,24 @@ def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None
     return _keyed(rows)
 
 
-def write_dated(rows: DataFrame, path: str, stamp: str = "created_at", mode: str = "append") -> None:
-    """Parquet below ``year=/month=`` folders, so date filters prune whole folders."""
+def write_dated(rows: DataFrame, path: str, stamp: str = "created_at", batch: str = "0") -> None:
+    """Parquet below ``year=/month=/batch=`` folders, so date filters prune whole folders.
+
+    A batch that is written again replaces its own folders, so a rerun adds nothing; other batches stay.
+    """
     (
-        rows.withColumn("year", F.year(stamp)).withColumn("month", F.month(stamp))
-        .write.mode(mode).partitionBy("year", "month").parquet(path)
+        rows.withColumns({"year": F.year(stamp), "month": F.month(stamp), "batch": F.lit(batch)})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("year", "month", "batch").parquet(path)
     )
+
+
+def read_dated(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all batches with their year and month."""
+    return spark.read.parquet(path).drop("batch")
+
+
+def write_bucketed(rows: DataFrame, name: str, path: str, keys: tuple[str, ...], buckets: int = 64) -> DataFrame:
+    """A table whose files are dealt by the keys: joins and aggregates on the keys need not shuffle it."""
+    rows.write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return rows.sparkSession.table(name)

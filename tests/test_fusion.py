@@ -101,3 +101,15 @@ def test_two_sources(spark):
     assert (u.outcome, u.number, u.money.total, u.money.subtotal, len(u["items"])) == ("FULL", "JK5501", 500, 420, 1)
     assert (got["short"].outcome, got["short"].missing_fields, got["short"]["items"]) == ("PARTIAL", ["total"], None)
     assert got["crash"].outcome == "ERROR"
+
+
+def test_full_rows_pass_beside_the_join(spark):
+    """Only what fell short is shuffled to the fallback rows."""
+    docs = spark.createDataFrame([("full", UNPRICED + "Total a pagar: COP 10.000\n"), ("partial", PARTIAL)], "doc_id string, text string")
+    replies = spark.createDataFrame([("partial", json.dumps(GOOD), None)], "doc_id string, content string, reasoning string")
+    fused = fuse_fallback(rules_payload(extract(docs)), _checked(replies))
+    plan = fused._jdf.queryExecution().executedPlan().toString()
+    joined, beside = plan[plan.index("Union"):].split("PartitionFilters: [", 2)[1:]
+    assert "route" in joined and "route" in beside
+    assert "Exchange" not in beside.split("ReadSchema", 1)[1] and "REFERENCIA" not in plan
+    assert {r.doc_id: r.outcome for r in fused.collect()} == {"full": "rules", "partial": "merged"}

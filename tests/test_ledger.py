@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -77,7 +78,7 @@ def test_a_hot_instant_of_a_hot_job_is_spread(spark):
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("job_id"), F.col("id").alias("event_id"),
         F.lit(datetime(2024, 1, 1)).alias("ts"), F.lit("start").alias("kind"), F.lit(None).cast("string").alias("message"),
         F.lit(None).cast("long").alias("invoice_id"))
-    placed = lifecycle.in_ranges(events, "job_id", 12).groupBy("_range").agg(F.count("*").alias("n"), F.count_if("job_id = 0").alias("hot"))
+    placed = lifecycle.in_ranges(events, "job_id", 12).groupBy("_range").agg(F.count("*").alias("n"), F.count_if(F.col("job_id") == 0).alias("hot"))
     sizes = placed.collect()
     assert len(sizes) == 12 and max(r.n for r in sizes) < 2_000 and sum(r.hot > 0 for r in sizes) >= 3
     state = lifecycle.current_state(lifecycle.fold_events(events, lifecycle.JOB, ranges=12), lifecycle.JOB)
@@ -216,9 +217,97 @@ def test_file_stream_registers_new_files_once(spark, tmp_path):
     assert {(r.status, r.attempts) for r in jobs.collect()} == {("PENDING", 0)}
 
 
-def test_dated_sink_prunes(spark, tmp_path, sf_dir):
+def test_dated_sink_prunes_and_a_rerun_adds_nothing(spark, tmp_path, sf_dir):
     out = str(tmp_path / "ledger")
-    sinks.write_dated(derived.jobs(spark, sf_dir), out)
-    back = spark.read.parquet(out).filter("year = 1997 AND month = 2")
-    assert back.count() == derived.jobs(spark, sf_dir).filter("year(created_at) = 1997 AND month(created_at) = 2").count()
-    assert "PartitionFilters: [isnotnull(year" in back._jdf.queryExecution().executedPlan().toString()
+    jobs = derived.jobs(spark, sf_dir)
+    for batch in ("a", "b", "a"):
+        sinks.write_dated(jobs.filter(f"job_id % 2 = {int(batch == 'a')}"), out, batch=batch)
+    back = sinks.read_dated(spark, out)
+    assert back.count() == jobs.count()
+    month = back.filter("year = 1997 AND month = 2")
+    assert month.count() == jobs.filter("year(created_at) = 1997 AND month(created_at) = 2").count()
+    assert "PartitionFilters: [isnotnull(year" in month._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_invoices_are_not_shuffled(spark, tmp_path):
+    """The ledger lies dealt by (supplier, number): only the new invoices move to it."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("invoice_id"), (F.col("id") % 40).alias("supplier_id"), (F.col("id") % 90).cast("string").alias("number"),
+        F.col("id").alias("created_at"))
+    stored = sinks.write_bucketed(rows.select("supplier_id", "number"), "stored_invoices", str(tmp_path / "t"), ("supplier_id", "number"), 8)
+    new = rows.withColumn("invoice_id", F.col("invoice_id") + 9000).withColumn("number", F.concat("number", F.when(F.col("invoice_id") % 3 == 0, "x").otherwise("")))
+    out = persist.reject_duplicates(new, stored.hint("merge"))
+    left = new.join(stored.hint("merge").select("supplier_id", "number").distinct(), ["supplier_id", "number"], "left_anti")
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    stored_side = plan[plan.index("SortMergeJoin"):].split("Exchange hashpartitioning")
+    assert len(stored_side) == 2 and "Bucketed: true" in stored_side[1]
+    assert out.filter("outcome = 'kept'").count() == left.select("supplier_id", "number").distinct().count()
+    spark.sql("DROP TABLE stored_invoices")
+
+
+def _pages(spark, n):
+    return spark.range(n).select(
+        F.col("id").alias("invoice_id"), F.expr("date_add(DATE'2024-01-01', CAST(id % 7 AS INT))").alias("issue_date"),
+        F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, CAST(id % 5 AS INT))").alias("created_at"))
+
+
+def test_deep_pages_read_one_range(spark, tmp_path):
+    rows, at = _pages(spark, 5000), str(tmp_path / "pages")
+    reports.write_page_index(rows, at, 25)
+    index = spark.read.parquet(at)
+    ordered = [tuple(r) for r in rows.orderBy(*reports._newest()).collect()]
+    for offset in (0, 190, 2500, 4990, 5000, 9999):
+        deep = reports.page_at(index, 20, offset)
+        assert [tuple(r)[:3] for r in deep.collect()] == ordered[offset:offset + 20]
+        if offset < 5000:
+            assert deep.first().total_count == 5000
+            assert len({f.split("page_range=")[1].split("/")[0] for f in deep.inputFiles()}) >= 1
+    plan = reports.page_at(index, 20, 2500)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*page_range", plan)
+    read = index.filter(F.col("page_range").isin([12])).count()
+    assert read < 5000 / 10
+
+
+def test_pages_after_a_row(spark):
+    rows = _pages(spark, 300)
+    ordered = [tuple(r) for r in rows.orderBy(*reports._newest()).collect()]
+    last, seen = None, []
+    while True:
+        part = reports.page(rows, 100).drop("total_count") if last is None else reports.page_after(rows, last, 100)
+        got = [tuple(r) for r in part.collect()]
+        if not got:
+            break
+        seen += got
+        last = (got[-1][1], got[-1][2], got[-1][0])
+    assert seen == ordered
+
+
+@pytest.mark.parametrize("search", ["fe10", " SUR 7", "a%s.a", "e_1", "x", "", "900_0", r"10\%", "Ñandú", "no such text", "%", r"a\_b"])
+def test_search_by_index_gives_the_rows_of_the_scan(spark, tmp_path_factory, search, search_tables):
+    invoices, suppliers, index = search_tables
+    got = reports.listing_by_index(invoices, suppliers, index, search, 16)
+    want = reports.listing(invoices, suppliers, search)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def search_tables(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("grams") / "t")
+    invoices = spark.range(600).select(
+        F.col("id").alias("invoice_id"), F.col("id").alias("document_id"),
+        F.when(F.col("id") % 50 == 3, F.lit("10%")).when(F.col("id") % 50 == 4, F.lit("a_b c")).otherwise(F.concat(F.lit("FE"), F.col("id").cast("string"))).alias("number"),
+        (F.col("id") % 40).alias("supplier_id"), F.lit(None).cast("date").alias("issue_date"), F.lit(None).cast("date").alias("due_date"),
+        F.lit("EUR").alias("currency"), *[F.lit(1).cast("decimal(14,2)").alias(c) for c in ("subtotal", "tax_amount", "total")],
+        F.lit(datetime(2024, 1, 1)).alias("created_at"))
+    suppliers = spark.range(38).select(
+        F.col("id").alias("supplier_id"), F.when(F.col("id") == 5, F.lit("ÑANDÚ S.A")).otherwise(F.concat(F.lit("Casa Sur "), F.col("id").cast("string"), F.lit(" S.A.S"))).alias("name"),
+        (F.lit(900000) + F.col("id")).cast("string").alias("tax_id"))
+    reports.write_search_index(invoices, suppliers, at, 16)
+    return invoices, suppliers, spark.read.parquet(at)
+
+
+def test_search_reads_the_folders_of_its_runs_only(spark, search_tables):
+    assert reports.search_grams(" e1_3 ") == [] and reports.search_grams("Sur 7") == ["r 7", "sur", "ur "]
+    assert reports.search_grams(r"ab\%cde") == ["cde"] and reports.search_grams("abcd") == ["abc", "bcd"]
+    plan = reports.listing_by_index(*search_tables, "sur", 16)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
