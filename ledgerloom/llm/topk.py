@@ -28,8 +28,8 @@ SAMPLE = 4096
 CELL, CENTERS = 2048, 1024
 BLOCK = 4096
 LEAF = 64
-#: Larger components would overflow a score; they count as not finite.
-LARGEST = float(1 << 26)
+#: Scores beyond 64 bits count as the largest number of 64 bits, of their sign.
+LARGEST_SCORE = (1 << 63) - 1
 
 
 def cover(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,15 +80,21 @@ class Nodes:
 def bounds(q: np.ndarray, q_radius: np.ndarray, p: np.ndarray, p_radius: np.ndarray) -> np.ndarray:
     """Upper bound of the inner products of each query node with each data node, with room for rounding."""
     q_norm, p_norm = np.linalg.norm(q, axis=1), np.linalg.norm(p, axis=1)
-    top = q @ p.T + q_norm[:, None] * p_radius + q_radius[:, None] * (p_norm + p_radius)
-    return top + 1 + 1e-9 * np.abs(top)
+    with np.errstate(over="ignore", invalid="ignore"):
+        top = q @ p.T + q_norm[:, None] * p_radius + q_radius[:, None] * (p_norm + p_radius)
+        room = (q_norm + q_radius)[:, None] * (p_norm + p_radius)
+        return np.nan_to_num(top + 1 + 1e-9 * room, nan=np.inf, posinf=np.inf)
 
 
 def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    if np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * q.shape[1] < 2**53:
+    """Exact integer inner products; those beyond 64 bits become the largest number."""
+    most = float(np.abs(q).max(initial=0)), float(np.abs(p).max(initial=0))
+    if most[0] * most[1] * q.shape[1] < 2**53:
         return np.rint(q @ p.T).astype(np.int64)
-    return q.astype(np.int64) @ p.astype(np.int64).T
+    if most[0] * most[1] * q.shape[1] < 2**62 and max(most) < 2**62:
+        return q.astype(np.int64) @ p.astype(np.int64).T
+    wide = np.vectorize(int, otypes=[object])
+    return np.clip(wide(q) @ wide(p).T, -LARGEST_SCORE, LARGEST_SCORE).astype(np.int64)
 
 
 def _merge(best: list[tuple[int, int]], more: Iterator[tuple[int, int]], k: int) -> list[tuple[int, int]]:
@@ -196,7 +202,7 @@ def _build(shared, k: int):
             "dim": [dim], "cell": [cell], "block": [block], "radius": [radius],
             "center": pa.array([center.tolist()], pa.list_(pa.float64())),
             "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-            "xs": pa.array([x.astype("<i4").tobytes()], pa.binary()),
+            "xs": pa.array([x.astype("<f8").tobytes()], pa.binary()),
             "leaves": pa.array([sizes.astype("<i8").tobytes()], pa.binary()),
             "floors": pa.array([floors.astype("<i8").tobytes()], pa.binary()),
         })
@@ -234,7 +240,7 @@ def _reach(cells: list):
 
 def _nodes(table: pa.Table, prefix: str, dim: int) -> Nodes:
     ids, xs, leaves = (table.column(prefix + c)[0].as_py() for c in ("ids", "xs", "leaves"))
-    x = np.frombuffer(xs, dtype="<i4").reshape(-1, dim).astype(np.float64)
+    x = np.frombuffer(xs, dtype="<f8").reshape(-1, dim)
     return Nodes.of(np.frombuffer(ids, dtype="<i8"), x, np.frombuffer(leaves, dtype="<i8"))
 
 
@@ -264,15 +270,20 @@ def top_k(
     """(query_id, rank, vec_id, score): the k best of every row but the query's own, for each id divisible by ``every``.
 
     Components x count as floor(scale * x); score is their integer inner product, ties go to the smaller id.
-    Vectors that are null, empty, or hold a null, non-finite or overflowing component take no part,
-    nor do rows without an id. Vectors of different lengths are not compared. Rows that
+    Vectors that are null, empty, or hold a null or non-finite component (or one that ``scale`` takes beyond a
+    double) take no part, nor do rows without an id. A score beyond 64 bits counts as the largest number of 64 bits. Vectors of different lengths are not compared. Rows that
     repeat an id are one id, with the best score of any of them. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    value = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * scale))
-    fine = F.forall(F.col(vector_col), lambda v: v.isNotNull() & (F.abs(v.cast("double") * scale) < LARGEST))
+    # Doubles of 2**53 and more are whole numbers, and may be too large for a long.
+    def whole(v):
+        scaled = v.cast("double") * scale
+        return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double")).otherwise(scaled)
+
+    value = F.transform(F.col(vector_col), whole)
+    fine = F.forall(F.col(vector_col), lambda v: v.isNotNull() & (F.abs(v.cast("double") * scale) < float("inf")))
     clean = vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & fine).select(
-        F.col(id_col).cast("long").alias("vec_id"), value.cast("array<int>").alias("x")
+        F.col(id_col).cast("long").alias("vec_id"), value.alias("x")
     )
     sample = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     if not sample:
@@ -287,7 +298,7 @@ def top_k(
         first = np.unique(ids, return_index=True)[1]
         known[dim] = (farthest_first(x, wanted), (ids[first], x[first] if len(own) else x[:0]))
     shared = spark.sparkContext.broadcast(known)  # SAMPLE vectors at most
-    assigned = stage(clean.mapInArrow(_assign(shared), "vec_id long, dim long, cell long, x array<int>"), "cells")
+    assigned = stage(clean.mapInArrow(_assign(shared), "vec_id long, dim long, cell long, x array<double>"), "cells")
     data = _blocks(assigned, None, k)
     asked = _blocks(assigned.filter(F.col("vec_id") % every == 0), shared, k)
     # Cells' centers and radii: the widest block decides; CENTERS rows a dimension.

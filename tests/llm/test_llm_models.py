@@ -144,12 +144,12 @@ def test_top_k(spark):
     rows = [(i, rng.normal(0, 0.2, 16).tolist()) for i in range(400)]
     rows += [(400 + i, rows[0][1]) for i in range(30)]  # one common vector
     rows += [(500, None), (550, []), (600, [float("nan")] * 16), (650, [None] + [0.1] * 15), (700, [float("inf")] * 16), (None, [0.1] * 16)]
-    rows += [(100, rows[100][1]), (750, [1e30] * 16)]
+    rows += [(100, rows[100][1]), (750, [1e30] * 16), (800, [3e5] * 16), (801, [-3e5] + [0.0] * 15), (802, [1e8] * 16)]
     df = spark.createDataFrame([(a, b, 1, 2, 3) for a, b in rows], "vec_id long, embedding array<double>, label int, cell int, block int")
     got = Counter(tuple(g.values()) for g in dicts(topk.top_k(df)))
     fine = [
         (i, [int(np.floor(256 * x)) for x in v]) for i, v in rows
-        if i is not None and v and all(x is not None and np.isfinite(x) and abs(256 * x) < topk.LARGEST for x in v)
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v)
     ]
     want = Counter()
     for q in {i for i, _ in fine if i % 50 == 0}:
@@ -157,7 +157,8 @@ def test_top_k(spark):
         for x in (v for i, v in fine if i == q):
             for i, y in fine:
                 if i != q:
-                    best[i] = max(best.get(i, -10**18), sum(a * b for a, b in zip(x, y)))
+                    score = max(-topk.LARGEST_SCORE, min(topk.LARGEST_SCORE, sum(a * b for a, b in zip(x, y))))
+                    best[i] = max(best.get(i, -10**30), score)
         found = sorted((-score, i) for i, score in best.items())[:5]
         for rank, (minus, i) in enumerate(found, 1):
             want[q, rank, i, -minus] += 1
@@ -172,6 +173,14 @@ def test_top_k_of_few_and_none(spark):
     assert got == [{"query_id": 0, "rank": 1, "vec_id": 1, "score": 65536}]
 
 
+def test_top_k_takes_large_components_and_ties(spark):
+    ddl = "vec_id long, embedding array<double>"
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 1.0]), (2, [300000.0, 1.0]), (50, [1.0, 1.0]), (3, [3.0, 1.0])]
+    got = {(g["query_id"], g["rank"]): (g["vec_id"], g["score"]) for g in dicts(topk.top_k(spark.createDataFrame(rows, ddl), k=3))}
+    assert [got[0, r] for r in (1, 2, 3)] == [(2, 65536 * 300002), (1, 65536 * 5), (3, 65536 * 5)]
+    assert [got[50, r] for r in (1, 2, 3)] == [(2, 65536 * 300001), (1, 65536 * 4), (3, 65536 * 4)]
+
+
 def test_cover_is_a_partition_with_covering_radii():
     x = np.random.default_rng(6).normal(size=(3000, 8)) * 100
     order, sizes = topk.cover(x)
