@@ -94,8 +94,8 @@ def fuse_sources(
 
     A full embedded reading wins, then a full OCR reading, then the union of
     both: first source wins per field, the amounts follow the first source with
-    a total. Both readings stay in the document's own row, so nothing is
-    shuffled, and OCR text is only read where the embedded one is not enough.
+    a total. Both readings stay in the document's own row, so nothing is shuffled.
+    The first reading is stored; only documents that it does not settle are read again.
     """
     rules = tuple(rules)
     names = ("route", *FIELDS)
@@ -106,9 +106,12 @@ def fuse_sources(
         payload = _with_carry(carried, keep, rules, key)
         return payload.select(key, *keep, F.struct(*names).alias(name))
 
-    first = reading(docs, "embedded_text", ["ocr_text"], "a")
-    needed = F.when(~F.col("a.route").isin("FULL", "ERROR"), F.col("ocr_text"))
-    both = reading(first.withColumn("needed", needed), "needed", ["a"], "b")
+    done = F.coalesce(F.col("a.route").isin("FULL", "ERROR"), F.lit(False))
+    first = stored(reading(docs, "embedded_text", ["ocr_text"], "a").withColumn("_done", done), "embedded", "_done")
+    second = reading(first.filter(~F.col("_done")), "ocr_text", ["a"], "b")
+    # Without a second reading nothing is found in it, as in a document without OCR text.
+    nothing = F.struct(F.lit("NONE").alias("route"), *[F.lit(None).cast(second.schema["b"].dataType[n].dataType).alias(n) for n in FIELDS])
+    both = second.unionByName(first.filter("_done").select(key, "a", nothing.alias("b")))
     a, b = F.col("a"), F.col("b")
     settled = (
         F.when(a["route"].isin("FULL", "ERROR"), a["route"])
