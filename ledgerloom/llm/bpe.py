@@ -4,7 +4,8 @@ The text is split by a pattern; each pre-token is merged on its own. Its symbols
 list. A queue holds, for each merge rank, a bucket of list positions whose pair has that rank, and
 a two-level bitmap marks the buckets in use: find-first-set on the upper level picks a word, on the
 word the lowest rank. Popping a bucket gives its leftmost position; an entry whose pair has changed
-since is stale and skipped. Each merge costs the same however long the pre-token is.
+since is stale and skipped, and the queue is left once no pair that can be merged is left. Each merge
+costs the same however long the pre-token is.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import lean
 
-#: Bits of a word of the lower bitmap level.
-FAN = 256
-#: Distinct pre-tokens that a worker remembers; it forgets them all beyond that, which costs time only.
-MEMO = 400_000
+#: A word of the lower bitmap level has a bit for each of 2**SHIFT ranks.
+SHIFT = 8
+_LOW, _BIT = (1 << SHIFT) - 1, [1 << i for i in range(1 << SHIFT)]
+_BYTES = [bytes([b]) for b in range(256)]
+#: Distinct pre-tokens of one generation of a worker's memory. It keeps two: a full one grows old, and what is not
+#: met again while the next one fills is forgotten, which costs time only.
+MEMO = 200_000
 #: Above so many characters pre-tokens are taken from the text piece by piece.
 PIECE = 1 << 20
 
@@ -37,41 +41,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class RankQueue:
-    """Positions by merge rank; pop gives the leftmost position of the lowest rank."""
-
-    __slots__ = ("buckets", "words", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.words: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank // FAN
-        self.words[word] = self.words.get(word, 0) | 1 << rank % FAN
-        self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int]:
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        rank = word * FAN + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits &= bits - 1
-            self.words[word] = bits
-            if not bits:
-                self.top &= self.top - 1
-        return rank, position
-
-
 class Codec:
     """Encoder and decoder of one rank table."""
 
@@ -80,59 +49,93 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.packed: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
-        part: list[bytes | None] = [piece[i:i + 1] for i in range(n)]
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        current: list[int | None] = [None] * n
-        queue = RankQueue()
-        push = queue.push
-        for i in range(n - 1):
-            rank = ranks.get(piece[i:i + 2])
-            if rank is not None:
-                current[i] = rank
-                push(rank, i)
-        pop = queue.pop
-        while queue.top:
-            rank, i = pop()
+        part: list[bytes | None] = [_BYTES[b] for b in piece]
+        # Rank of the pair that begins at each position, and how many pairs have one.
+        current = [rank_of(piece[i:i + 2]) for i in range(n - 1)]
+        live = len(current) - current.count(None)
+        current.append(None)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # The queue: positions by rank, bits of ranks in use by word, bits of words in use. Written out where it is
+        # used, as calls would cost more than the work.
+        buckets: dict[int, list[int]] = {}
+        words: dict[int, int] = {}
+        top = 0
+        for i, rank in enumerate(current):
+            if rank is None:
+                continue
+            if rank in buckets:
+                buckets[rank].append(i)
+                continue
+            buckets[rank] = [i]
+            word = rank >> SHIFT
+            words[word] = words.get(word, 0) | _BIT[rank & _LOW]
+            top |= 1 << word
+        while live:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            low = bits & -bits
+            rank = (word << SHIFT) + low.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                words[word] = bits = bits ^ low
+                if not bits:
+                    top &= top - 1
             if current[i] != rank:
                 continue
             j = after[i]
             merged = part[i] + part[j]
-            part[i], part[j], current[j] = merged, None, None
+            part[i], part[j] = merged, None
+            live -= 1 + (current[j] is not None)
+            current[j] = None
             k = after[i] = after[j]
-            new = None
+            changed = [i] if k < n else []
+            current[i] = None
             if k < n:
                 before[k] = i
-                new = ranks.get(merged + part[k])
-                if new is not None:
-                    push(new, i)
-            current[i] = new
+                current[i] = rank_of(merged + part[k])
             h = before[i]
             if h >= 0:
-                new = current[h] = ranks.get(part[h] + merged)
-                if new is not None:
-                    push(new, h)
-        return [ranks[p] for p in part if p is not None]
+                live -= current[h] is not None
+                current[h] = rank_of(part[h] + merged)
+                changed.append(h)
+            for at in changed:
+                new = current[at]
+                if new is None:
+                    continue
+                live += 1
+                if new in buckets:
+                    heappush(buckets[new], at)
+                    continue
+                buckets[new] = [at]
+                word = new >> SHIFT
+                words[word] = words.get(word, 0) | _BIT[new & _LOW]
+                top |= 1 << word
+        return [self.ranks[p] for p in part if p is not None]
 
     def _pack(self, words: list[str]) -> bytes:
         """Ids of pre-tokens as little-endian unsigned 32-bit integers."""
-        packed = self.packed
         try:
-            return b"".join(map(packed.__getitem__, words))
+            return b"".join(map(self.packed.__getitem__, words))
         except KeyError:
-            if len(packed) > MEMO:
-                packed.clear()
+            if len(self.packed) > MEMO:
+                self.packed, self.older = {}, self.packed
+            packed, older = self.packed, self.older
             for word in words:
                 if word not in packed:
-                    packed[word] = b"".join([i.to_bytes(4, "little") for i in self.merge(word.encode())])
+                    packed[word] = older.get(word) or b"".join([i.to_bytes(4, "little") for i in self.merge(word.encode())])
             return b"".join(map(packed.__getitem__, words))
 
     def encode(self, text: str) -> bytes:

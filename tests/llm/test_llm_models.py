@@ -56,15 +56,39 @@ def test_bpe_piecewise(own, reference, monkeypatch):
     assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == reference.encode_ordinary(text)
 
 
-def test_rank_queue_is_ordered():
-    queue, rng = bpe.RankQueue(), random.Random(3)
-    items = [(rng.randrange(50_000), rng.randrange(1000)) for _ in range(2000)]
-    for item in items:
-        queue.push(*item)
-    got = []
-    while queue.top:
-        got.append(queue.pop())
-    assert got == sorted(items)
+def naive_merge(ranks: dict[bytes, int], piece: bytes) -> list[bytes]:
+    part = [piece[i:i + 1] for i in range(len(piece))]
+    while True:
+        pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(part, part[1:])) if a + b in ranks]
+        if piece in ranks or not pairs:
+            return [piece] if piece in ranks else part
+        i = min(pairs)[1]
+        part[i:i + 2] = [part[i] + part[i + 1]]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc", min_size=2, max_size=5), unique=True, max_size=40), st.text("abc", max_size=60), st.integers(1, 3000), st.randoms())
+def test_rank_queue_in_any_rank_table(tokens, piece, spread, rng):
+    """Also in tables whose longer tokens rank before their parts; ranks lie in many words of the bitmap."""
+    rng.shuffle(tokens)
+    ranks = {t.encode(): spread * k for k, t in enumerate(["a", "b", "c", *tokens])}
+    codec = bpe.Codec(ranks, PATTERN)
+    assert [codec.tokens[i] for i in codec.merge(piece.encode())] == (naive_merge(ranks, piece.encode()) if piece else [])
+
+
+def test_bpe_remembers_two_generations(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    own, rng = bpe.Codec(bpe.load_ranks(PATH), PATTERN), random.Random(9)
+    for _ in range(40):
+        text = words(rng, 6, "abxyz")
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == reference.encode_ordinary(text)
+    assert own.older and len(own.packed) < 20
+
+
+@pytest.mark.parametrize("ddl", ["doc_id long, text string"])
+def test_bpe_and_mix_of_empty_tables(spark, ddl):
+    assert bpe.digest(bpe.bpe_round_trip(spark.createDataFrame([], ddl), PATH, PATTERN)).count() == 0
+    assert mixing.mix(frame(spark, [])).count() == 0
 
 
 def test_bpe_query(spark, reference):
