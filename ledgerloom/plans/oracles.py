@@ -221,6 +221,15 @@ SELECT doc_id, size_bytes, reason,
   CASE WHEN reason = '' THEN family ELSE '' END AS document_type,
   CASE WHEN reason <> '' THEN '' WHEN mime = '' THEN own_mime ELSE mime END AS mime_type
 FROM audited""")
+sql("ingest_sent_files", f"""
+WITH {FILES.replace("1109 ELSE 0 END +", "1109 ELSE 0 END + CASE WHEN doc_id % 7 = 6 THEN 0 ELSE 1 END +")}
+SELECT doc_id, size_bytes, reason,
+  CASE reason WHEN '' THEN '' WHEN 'too_large' THEN 'file_too_large' WHEN 'empty' THEN 'empty_file'
+    ELSE 'invalid_file' END AS error_code,
+  CASE WHEN reason = '' THEN family ELSE '' END AS document_type,
+  CASE WHEN reason <> '' THEN '' WHEN mime = '' THEN own_mime ELSE mime END AS mime_type,
+  CASE WHEN reason = '' THEN 'RECEIVED' ELSE '' END AS streamed
+FROM audited""")
 sql("ingest_magic_sniff", f"""
 WITH {FILES}
 SELECT doc_id, {n('format')} AS format, {n('family')} AS document_type, {n('own_mime')} AS mime_type FROM kinds""")

@@ -53,6 +53,24 @@ def ingest_file_audit(spark, sf):
     )
 
 
+@query
+def ingest_sent_files(spark, sf):
+    """Real files, written from the documents, audited from their folder and registered once more as a stream."""
+    out, checkpoint = streams.scratch(spark, "sent")
+    sent = f"{out}-files"
+    rows = derived.file_table(spark, sf).withColumnRenamed("doc_id", "file_id")
+    ended = F.when(F.octet_length("content") > 0, F.concat("content", F.lit(b"\n"))).otherwise(F.col("content"))
+    sinks.write_files(rows.withColumn("content", ended), sent)
+    manifest = rows.drop("content")
+    audited = ingest.audit_files(sinks.read_sent(spark, sent, manifest), MAX_BYTES)
+    streams.ingest_stream(sinks.sent_stream(spark, sent, manifest), out, checkpoint, MAX_BYTES)
+    documents, _ = streams.ingested(spark, out)
+    streamed = documents.select(F.col("document_id").alias("doc_id"), F.col("status").alias("streamed"))
+    rows = audited.join(streamed, "doc_id", "left")
+    return rows.select("doc_id", "size_bytes", *[F.coalesce(c, F.lit("")).alias(c) for c in (
+        "reason", "error_code", "document_type", "mime_type", "streamed")])
+
+
 @query
 def ingest_magic_sniff(spark, sf):
     return ingest.sniff(derived.file_table(spark, sf)).na.fill("")

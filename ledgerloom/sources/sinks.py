@@ -50,6 +50,36 @@ def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None
     return _keyed(rows)
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """Contents as one file each, below ``file_id=`` folders; the text sink writes them on any file system.
+
+    It ends what it writes with a line feed, so contents must end with one; empty contents have no file.
+    """
+    body = F.expr("CAST(substring(content, 1, octet_length(content) - 1) AS STRING)")
+    files.filter(F.octet_length("content") > 0).select("file_id", body.alias("value")).write.partitionBy("file_id").text(path)
+
+
+def _sent(found: DataFrame, manifest: DataFrame, how: str) -> DataFrame:
+    return found.select("file_id", "content").join(manifest, "file_id", how).select(
+        F.col("file_id").alias("doc_id"), "filename", "declared_mime", "received_at", F.coalesce("content", F.lit(b"")).alias("content"))
+
+
+def read_sent(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """What ``write_files`` wrote, with the names and types of a manifest (file_id, filename, declared_mime, received_at).
+
+    Files of the manifest that are not there were empty.
+    """
+    return _sent(spark.read.format("binaryFile").load(path), manifest, "right")
+
+
+def sent_stream(spark: SparkSession, path: str, manifest: DataFrame, files_per_batch: int = 10_000) -> DataFrame:
+    """The same as files arrive; empty ones never do."""
+    arriving = (
+        spark.readStream.format("binaryFile").schema(_BINARY + ", file_id bigint").option("maxFilesPerTrigger", files_per_batch).load(path)
+    )
+    return _sent(arriving, manifest, "inner")
+
+
 def write_dated(rows: DataFrame, path: str, stamp: str = "created_at", batch: str = "0") -> None:
     """Parquet below ``year=/month=/batch=`` folders, so date filters prune whole folders.
 
