@@ -196,15 +196,22 @@ def _keep(shared, place: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(place)], ["doc_id", "text"])
-            (found,) = judge(iter([pair]))
-            yield batch.filter(pc.and_(pc.not_equal(found.column(1), "und"), pc.invert(found.column(3))))
+            if shared.value is None:  # nothing was learned, so no text is of another language than the known ones
+                keep = pa.array([bool(t and LETTER.search(t)) for t in batch.column(place).to_pylist()], pa.bool_())
+            else:
+                pair = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(place)], ["doc_id", "text"])
+                (found,) = judge(iter([pair]))
+                keep = pc.not_equal(found.column(1), "und")
+            yield batch.filter(keep)
 
     return run
 
 
 def keep_recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Rows, with all their columns, whose text has a language that is not ambiguous."""
+    """Rows, with all their columns, whose text has a language; only ``und`` texts go.
+
+    An ambiguous text has a language, if not a sure one, and stays. Where nothing was learned every text with a letter stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(lean(_keep(shared, docs.columns.index(text_col))), docs.schema)
 

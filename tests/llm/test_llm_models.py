@@ -393,6 +393,15 @@ def test_pipeline_on_odd_rows(spark):
     assert coded.count() == mixed.count()
 
 
+def test_pipeline_without_labels_keeps_every_text_with_a_letter(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    texts = [words(rng, 30, STEMS["xx"]) for _ in range(10)] + ["x", None, "12", " "]
+    kept = corpus_pipeline.keep_known_languages(spark, frame(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(11))
+
+
 def test_pipeline_of_an_empty_table(spark):
     import corpus_pipeline
 
