@@ -18,9 +18,10 @@ from ledgerloom.llm.mixing import mix
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: ``und`` and ambiguous texts go.
+    """Documents with a language: ``und`` texts (null or without a letter) go, ambiguous ones stay.
 
-    Labels are learned from the rows outside the held-out fold. Repeated rows are all judged alike.
+    Labels are learned from the rows outside the held-out fold; without any, every text with a letter stays.
+    Repeated rows are all judged alike.
     """
     ship(spark)
     model = langid.train(docs.filter(~langid.held_out()))
