@@ -30,7 +30,7 @@ _LOW, _BIT = (1 << SHIFT) - 1, [1 << i for i in range(1 << SHIFT)]
 _BYTES = [bytes([b]) for b in range(256)]
 #: Distinct pre-tokens of one generation of a worker's memory. It keeps two: a full one grows old, and what is not
 #: met again while the next one fills is forgotten, which costs time only.
-MEMO = 200_000
+MEMO = 300_000
 #: Above so many characters pre-tokens are taken from the text piece by piece.
 PIECE = 1 << 20
 
