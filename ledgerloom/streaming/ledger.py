@@ -84,12 +84,12 @@ def write_batch(store: Store, arriving: DataFrame, number: int, as_of: str, rule
         return
     jobs = arriving.select("job_id", "document_id").distinct()
     jobs = jobs.join(batch.known("jobs", jobs, "job_id").select("job_id"), "job_id", "left_anti")
-    texts = arriving.groupBy("document_id").agg(F.max("text").alias("text"))
-    done = batch.known("documents", texts, "document_id")
-    todo = texts.join(done.select("document_id"), "document_id", "left_anti")
+    done = batch.known("documents", arriving, "document_id")
+    todo = arriving.join(done.select("document_id"), "document_id", "left_anti")
 
     # Extracted once: everything below reads the payloads as stored.
-    read = rules_payload(extract(todo.filter("text IS NOT NULL"), rules), "document_id")
+    texts = todo.filter("text IS NOT NULL").groupBy("document_id").agg(F.max("text").alias("text"))
+    read = rules_payload(extract(texts, rules), "document_id")
     payloads = batch.append("payloads", check_values(read))
     good = payloads.filter("route = 'FULL' AND is_valid").withColumnRenamed("document_id", "doc_id")
     unstorable = persist.unstorable(good).select("doc_id")
@@ -106,7 +106,7 @@ def write_batch(store: Store, arriving: DataFrame, number: int, as_of: str, rule
 
     stored = kept.select("document_id", "invoice_id")
     ended = (
-        todo.select("document_id", F.col("text").isNull().alias("lost"))
+        todo.groupBy("document_id").agg((F.count("text") == 0).alias("lost"))
         .join(payloads.select("document_id", "route", "is_valid"), "document_id", "left")
         .join(good.select(F.col("doc_id").alias("document_id"), F.lit(True).alias("good")), "document_id", "left")
         .join(stored, "document_id", "left")
