@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ _INDEX = "dim int, block long, ids binary, xs binary, orders binary, sorted bina
 _FOUND = "query_id long, vec_id long, score double"
 
 
+@lru_cache(maxsize=4)
 def directions(dim: int, count: int = DIRECTIONS, seed: int = 11) -> np.ndarray:
     """Gaussian directions, the same in every task."""
     return np.random.default_rng([seed, dim]).standard_normal((dim, count))
