@@ -51,3 +51,10 @@ def test_filters_reach_the_scan(spark, sf_dir):
 def test_page_takes_top_rows_only(spark, sf_dir):
     listing = reports.listing(derived.invoices(spark, sf_dir), derived.suppliers(spark, sf_dir))
     assert "TakeOrderedAndProject" in _plan(reports.page(listing, 20, 40))
+
+
+def test_printed_invoices_number_no_lines(spark, sf_dir):
+    """Sums need no position, and printed lines are put in order in their invoice's row."""
+    for made in (derived.invoices, derived.invoice_texts, derived.reply_texts, derived.supplier_sightings):
+        assert "Window" not in _plan(made(spark, sf_dir))
+    assert "Window" in _plan(derived.items(spark, sf_dir))
