@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Folders that ``write_files`` deals files to.
+SENT_FOLDERS = 256
+
 _BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -50,17 +59,44 @@ def read_files(spark: SparkSession, path: str, manifest: DataFrame | None = None
     return _keyed(rows)
 
 
+def _put_files(path: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes (folder, file_id, content) rows below a mounted path; a file is seen whole or not at all."""
+
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder, file_id, content in zip(*[column.to_pylist() for column in batch.columns]):
+                at = os.path.join(path, str(folder))
+                os.makedirs(at, exist_ok=True)
+                unready = os.path.join(at, f".{file_id}-{uuid.uuid4().hex}")
+                with open(unready, "wb") as out:
+                    out.write(content)
+                os.replace(unready, os.path.join(at, f"file_id={file_id}"))
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    return put
+
+
 def write_files(files: DataFrame, path: str) -> None:
-    """Contents as one file each, below ``file_id=`` folders; the text sink writes them on any file system.
+    """Contents (file_id, content) as one file each, ids being unique; empty contents have no file.
 
-    It ends what it writes with a line feed, so contents must end with one; empty contents have no file.
+    Below a mounted folder the tasks write them, dealt to ``SENT_FOLDERS`` folders. On any other file system the text
+    sink does, a folder each; it ends what it writes with a line feed, so there contents must end with one.
     """
+    held = files.filter("octet_length(content) > 0 AND file_id IS NOT NULL")
+    place = urlsplit(path)
+    if place.scheme in ("", "file"):
+        at = unquote(place.path) if place.scheme else path
+        os.makedirs(at, exist_ok=True)
+        dealt = held.select(F.pmod(F.hash("file_id"), F.lit(SENT_FOLDERS)).alias("folder"), "file_id", "content")
+        dealt.mapInArrow(_put_files(at), "files long").write.format("noop").mode("overwrite").save()
+        return
     body = F.expr("CAST(substring(content, 1, octet_length(content) - 1) AS STRING)")
-    files.filter(F.octet_length("content") > 0).select("file_id", body.alias("value")).write.partitionBy("file_id").text(path)
+    held.select("file_id", body.alias("value")).write.partitionBy("file_id").text(path)
 
 
 def _sent(found: DataFrame, manifest: DataFrame, how: str) -> DataFrame:
-    return found.select("file_id", "content").join(manifest, "file_id", how).select(
+    file_id = F.regexp_extract("path", r"/file_id=(-?\d+)", 1).cast("long")
+    return found.select(file_id.alias("file_id"), "content").join(manifest, "file_id", how).select(
         F.col("file_id").alias("doc_id"), "filename", "declared_mime", "received_at", F.coalesce("content", F.lit(b"")).alias("content"))
 
 
@@ -69,13 +105,14 @@ def read_sent(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
 
     Files of the manifest that are not there were empty.
     """
-    return _sent(spark.read.format("binaryFile").load(path), manifest, "right")
+    return _sent(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), manifest, "right")
 
 
 def sent_stream(spark: SparkSession, path: str, manifest: DataFrame, files_per_batch: int = 10_000) -> DataFrame:
     """The same as files arrive; empty ones never do."""
     arriving = (
-        spark.readStream.format("binaryFile").schema(_BINARY + ", file_id bigint").option("maxFilesPerTrigger", files_per_batch).load(path)
+        spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch).load(path)
     )
     return _sent(arriving, manifest, "inner")
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators.ingest import MAX_BYTES, audit_files, register_documents, register_jobs
 from ledgerloom.operators.lifecycle import EFFECT, JOB, Machine, compose_effects, current_state, fold_events
-from ledgerloom.session import fresh_dir
+from ledgerloom.session import few_listing_tasks, fresh_dir
 from ledgerloom.sources.store import Store, Table
 
 
@@ -34,11 +34,12 @@ def run_available(
     stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
     """Process everything that has arrived, micro-batch by micro-batch, then stop."""
-    query = (
-        stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    with few_listing_tasks(stream.sparkSession):  # a batch's files are listed under the settings of the caller's session
+        query = (
+            stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return query
 
 

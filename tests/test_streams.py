@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import lifecycle
-from ledgerloom.sources import derived
+from ledgerloom.sources import derived, sinks
 from ledgerloom.sources.store import Store, Table
 from ledgerloom.sources.tables import load
 from ledgerloom.streaming import jobs as streams
@@ -211,3 +211,14 @@ def test_counts_are_moved_by_touched_jobs_and_survive_a_crash(spark, root, monke
     whole = lifecycle.fold_jobs(batches[0].union(batches[1]).union(batches[2]))
     assert rows_of(store.read("counts")) == rows_of(whole.groupBy("status").count())
     assert json.loads(spark.read.text(f"{store.root}/commits/{2:012d}.json", wholetext=True).first()[0]).keys() == store.tables.keys()
+
+
+def test_sent_files_share_folders(spark, tmp_path):
+    """A folder, and a commit by the driver, for every file made the run too slow for many files."""
+    files = spark.range(3000).selectExpr("id AS file_id", "CASE WHEN id % 3 = 0 THEN X'' ELSE encode(concat('é', id, '\n'), 'UTF-8') END AS content")
+    manifest = spark.range(3000).selectExpr("id AS file_id", "'a.pdf' AS filename", "'x' AS declared_mime", "current_timestamp() AS received_at")
+    for path in (str(tmp_path / "a b"), f"file://{tmp_path}/c"):
+        sinks.write_files(files, path)
+        got = {r.doc_id: bytes(r.content) for r in sinks.read_sent(spark, path, manifest).collect()}
+        assert got == {r.file_id: bytes(r.content) for r in files.collect()}
+    assert len(list((tmp_path / "c").iterdir())) <= sinks.SENT_FOLDERS
