@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from datetime import date
 from decimal import Decimal
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.amounts import contract_amount, latam_amount, ledger_money
 from ledgerloom.functions.dates import parse_date
 from ledgerloom.functions.text import markup_lines, normalize_text, safe_filename
+from ledgerloom.plans.queries import QUERIES
 
 
 def _values(rows, raws, fn):
@@ -104,3 +107,26 @@ def test_markup_lines(rows):
     out = rows([(1, "<p>a</p>\n---\n<td> $1 </td><td></td>x")], "k int, h string",
                lambda df: markup_lines(df, "k", "h").orderBy("line_no"))
     assert [r["line"] for r in out] == ["a", "$1", "x"]
+
+
+def test_tidy_ascii_text_meets_plain_searches_only(spark, sf_dir):
+    """Scattered classes of characters cost more than half of the canonical form of texts that need no tidying."""
+    plan = QUERIES["text_normalize"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan and "Contains(" in plan
+    assert "\\x0B\\x0C\\x1C-\\x1F" not in plan and "[^\\x00-\\x7F]" not in plan and "[ABD-KM-QT-Z]" not in plan
+
+
+def test_every_untidy_mark_is_tidied(spark):
+    """Each break and blank between, before and after letters gives what the longer patterns give."""
+    marks = [" ", "\t", "\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", " ", " ", " ", " ", "é"]
+    texts = [f"{a}x{a}{b}y{b}" for a in marks for b in marks] + [f"x{a}y" for a in marks]
+    blank, breaks = " \t\x1f ", "\n\r\x0b\x0c\x1c-\x1e\x85  "
+
+    def expected(text):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).upper()
+        lines = re.sub(f"[{blank}]*[{breaks}][{blank}{breaks}]*", "\n", plain)
+        spaced = re.sub("[ \t]{2,}|\t", " ", lines).strip(" \t\x1f \n")
+        return re.sub(r"([ABD-KM-QT-Z])\1+", r"\1", re.sub(r"([LRSC])\1{2,}", r"\1", spaced))
+
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", normalize_text(F.col("text")).alias("norm"))
+    assert [(r.text, r.norm) for r in rows.collect() if r.norm != expected(r.text)] == []
