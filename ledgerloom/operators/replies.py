@@ -11,6 +11,8 @@ from ledgerloom.schemas import PAYLOAD_DDL
 
 # Fixed value: a reply that is one fenced block.
 FENCE = r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$"
+# From the first opening to the last closing brace; anchored and possessive, so one pass whatever the text.
+OUTER_BRACES = r"(?s)^[^{]*+(\{.*\})"
 
 
 def _is_json(text: Column) -> Column:
@@ -30,14 +32,10 @@ def recover_json(replies: DataFrame) -> DataFrame:
     bare = F.when(F.col("reply").rlike(FENCE), F.regexp_extract("reply", FENCE, 1)).otherwise(F.col("reply"))
     body = F.col("body")
 
-    def cut(t: Column) -> Column:
-        first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
-        inner = F.substring(t, first, last - first + 1)
-        return F.when((first > 0) & t.contains("}") & (last > first), inner)
-
+    cut = F.nullif(F.regexp_extract(body, OUTER_BRACES, 1), F.lit(""))
     read = replies.withColumn("reply", text).withColumn("body", bare)
     tried = settle(read).withColumn(
-        "body", F.when(_is_json(body), body).otherwise(let(cut(body), lambda t: F.when(_is_json(t), t)))
+        "body", F.when(_is_json(body), body).otherwise(let(cut, lambda t: F.when(_is_json(t), t)))
     )
     return (
         settle(tried)
