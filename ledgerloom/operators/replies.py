@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.binding import let, settle
+from ledgerloom.functions.binding import found, let, settle
 from ledgerloom.functions.text import trim_blank
 from ledgerloom.schemas import PAYLOAD_DDL
 
@@ -32,7 +32,7 @@ def recover_json(replies: DataFrame) -> DataFrame:
     bare = F.when(F.col("reply").rlike(FENCE), F.regexp_extract("reply", FENCE, 1)).otherwise(F.col("reply"))
     body = F.col("body")
 
-    cut = F.nullif(F.regexp_extract(body, OUTER_BRACES, 1), F.lit(""))
+    cut = found(body, OUTER_BRACES)
     read = replies.withColumn("reply", text).withColumn("body", bare)
     tried = settle(read).withColumn(
         "body", F.when(_is_json(body), body).otherwise(let(cut, lambda t: F.when(_is_json(t), t)))

@@ -8,6 +8,7 @@ import pytest
 
 from ledgerloom.functions.text import trim_blank
 from ledgerloom.operators.replies import recover_json
+from ledgerloom.operators.rules import literal_of
 from ledgerloom.plans.queries import QUERIES
 from ledgerloom.sources import derived
 
@@ -53,3 +54,18 @@ def test_trim_blank(rows, text, kept):
 def test_outer_braces(rows, content, outcome, found):
     got = rows([(content, None)], "content string, reasoning string", recover_json)[0]
     assert got["outcome"] == outcome and (found is None or got["json"] == found)
+
+
+def test_invoices_are_printed_by_compiled_methods(spark, sf_dir):
+    assert _largest_method(spark, derived.invoice_texts(spark, sf_dir)) < MOST_BYTECODE
+
+
+def test_a_pattern_is_matched_once(spark, sf_dir):
+    plan = QUERIES["reconcile_subtotal"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_extract\(norm#\d+, \(\?Ud\)SUBTOTAL", plan)) == 1
+
+
+def test_rules_look_for_what_tells_them_apart(spark):
+    regexes = [r"TOTAL(?:ES)?\s+A\s+PAGAR", r"(?<!\w)TOTAL\s+VENTA", r"FECHAS?\s+DE\s+VENCIMIENTO", r"ABCDEFGHIJKL MNO", r"AB"]
+    rows = spark.createDataFrame(list(enumerate(regexes)), "i int, regex string").orderBy("i")
+    assert [r[0] for r in rows.select(literal_of(rows.regex)).collect()] == ["PAGAR", "VENTA", "VENCIMIENTO", "ABCDEFGHIJKL", ""]
