@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from llm_fixtures import dicts, frame, odd_texts, words
 
 from ledgerloom.llm import exact_dedup as exact
+from ledgerloom.llm import line_dedup as line_dedup_module
 from ledgerloom.llm.common import components
 from ledgerloom.llm.jaccard import jaccard_join, prefix_length
 from ledgerloom.llm.line_dedup import line_dedup, masks, simhashes
@@ -264,6 +265,65 @@ def test_very_alike_lines_need_no_pair_each(spark):
     assert sum(len(g["kept_lines"]) for g in got) < 300
 
 
+def test_a_common_phrase_is_no_reason_to_compare(spark, monkeypatch):
+    """Lines that share one run of words only are not all compared; those that are alike beside it are found."""
+    rng, compared = random.Random(11), []
+    real = line_dedup_module._sized
+    monkeypatch.setattr(line_dedup_module, "_sized", lambda *given: compared.append(real(*given)) or compared[-1])
+    texts = []
+    for _ in range(800):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(14)]
+        at = rng.randrange(15)
+        texts.append(" ".join([*own[:at], *"allrightsreserved bythecompanynamed here".split(), *own[at:]]))
+    for k in range(0, 800, 80):
+        near = texts[k].split()
+        near[k % 3], near[-1 - k % 3] = "other", "another"
+        texts.append(" ".join(near))
+    got = dicts(line_dedup(frame(spark, texts), runs=True))
+    assert sorted(g["doc_id"] for g in got if g["n_dropped"]) == list(range(800, 810))
+    assert sum(pairs.count() for pairs in compared) < 20_000
+
+
+def test_crowded_keys_are_made_up_for(spark, monkeypatch):
+    """With hardly any line to a key the same lines are linked: brute force over words."""
+    monkeypatch.setattr(line_dedup_module, "CROWD", 2)
+    rng = random.Random(12)
+    stock = [words(rng, 5) for _ in range(12)]
+    lines = []
+    for _ in range(60):
+        one = " ".join([rng.choice(stock), words(rng, 4), rng.choice(stock)]).split()
+        two = list(one)
+        two[rng.randrange(len(two))] = "changed"
+        lines += [" ".join(one), " ".join(two)]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def near(x, y):
+        return _edit(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)
+
+    for i, j in combinations(range(len(lines)), 2):
+        if near(lines[i].split(), lines[j].split()) or near(list(lines[i]), list(lines[j])):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {g["doc_id"] for g in dicts(line_dedup(frame(spark, lines), runs=True)) if g["kept_lines"]}
+    assert got == {find(i) for i in range(len(lines))}
+
+
+def test_hot_simhash_is_not_compared_by_pairs(spark, monkeypatch):
+    """Lines in which one word prevails have one SimHash."""
+    compared = []
+    real = line_dedup_module._sized
+    monkeypatch.setattr(line_dedup_module, "_sized", lambda *given: compared.append(real(*given)) or compared[-1])
+    rng = random.Random(13)
+    texts = ["| " * 9 + " | ".join(f"x{rng.randrange(10**9)}y{rng.randrange(10**9)}z" for _ in range(8)) for _ in range(500)]
+    got = dicts(line_dedup(frame(spark, [*texts, texts[3] + "a"]), runs=True))
+    assert [g["doc_id"] for g in got if g["n_dropped"]][-1:] == [500]
+    assert sum(pairs.count() for pairs in compared) < 20_000
+
+
 # ---------------------------------------------------------------- suffix
 def brute_spans(texts: list[bytes], n: int):
     seen = Counter(t[i:i + n] for t in texts for i in range(len(t) - n + 1))
