@@ -222,3 +222,26 @@ def test_sent_files_share_folders(spark, tmp_path):
         got = {r.doc_id: bytes(r.content) for r in sinks.read_sent(spark, path, manifest).collect()}
         assert got == {r.file_id: bytes(r.content) for r in files.collect()}
     assert len(list((tmp_path / "c").iterdir())) <= sinks.SENT_FOLDERS
+
+
+def test_sent_files_are_not_listed_by_the_driver(spark, tmp_path):
+    """A path of every file on the driver, twice, made its memory grow with the files."""
+    files = spark.range(3000).selectExpr("id - 5 AS file_id", "CASE WHEN id % 3 > 0 THEN encode(concat('%PDF-', id), 'UTF-8') END AS content")
+    manifest = spark.range(3000).selectExpr("id - 5 AS file_id", "concat(id, '.pdf') AS filename", "CAST(NULL AS STRING) AS declared_mime", "timestamp_ntz'2024-01-01 00:00:00' AS received_at")
+    path, out, checkpoint = (str(tmp_path / name) for name in ("sent", "out", "checkpoint"))
+    want = {r.file_id: bytes(r.content) for r in files.filter("content IS NOT NULL").collect()}
+    sinks.write_files(files, path)
+    found = sinks.read_sent(spark, path, manifest)
+    assert not found.inputFiles()
+    assert {r.doc_id: bytes(r.content) for r in found.filter("octet_length(content) > 0").collect()} == want
+    assert found.count() == 3000
+    for new in (-9, None):  # what arrives later is seen, and nothing twice
+        streams.ingest_stream(sinks.sent_stream(spark, path, manifest, notices_per_batch=3), out, checkpoint)
+        documents = streams.ingested(spark, out)[0].collect()
+        assert sorted((r.document_id, r.size_bytes) for r in documents) == sorted((k, len(c)) for k, c in want.items())
+        if new:
+            manifest = manifest.union(manifest.limit(1).withColumn("file_id", F.lit(new).cast("long")))
+            sinks.write_files(spark.sql(f"SELECT CAST({new} AS LONG) AS file_id, encode('%PDF-later', 'UTF-8') AS content"), path)
+            want[new] = b"%PDF-later"
+    logs = [p for p in (tmp_path / "checkpoint" / "sources").rglob("*") if p.is_file() and not p.name.startswith(".")]
+    assert 0 < sum(len(p.read_text().splitlines()) - 1 for p in logs) <= 2 * spark.sparkContext.defaultParallelism
