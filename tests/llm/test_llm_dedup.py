@@ -12,12 +12,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_fixtures import dicts, frame, odd_texts, words
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import exact_dedup as exact
 from ledgerloom.llm import line_dedup as line_dedup_module
 from ledgerloom.llm.common import components
 from ledgerloom.llm.jaccard import jaccard_join, prefix_length
-from ledgerloom.llm.line_dedup import line_dedup, masks, simhashes
+from ledgerloom.llm.line_dedup import close, line_dedup, masks, simhashes, sketch
 from ledgerloom.llm.shingles import shingles
 from ledgerloom.llm.suffix_dedup import suffix_dedup
 
@@ -324,6 +325,41 @@ def test_hot_simhash_is_not_compared_by_pairs(spark, monkeypatch):
     assert sum(pairs.count() for pairs in compared) < 20_000
 
 
+def test_only_lines_that_can_be_alike_are_measured(spark, monkeypatch):
+    """Lines of few keys that share a phrase were all measured, as lengths alone were compared."""
+    rng, compared = random.Random(17), []
+    real = line_dedup_module._sized
+    monkeypatch.setattr(line_dedup_module, "_sized", lambda *given: compared.append(real(*given)) or compared[-1])
+    texts = ["fgjkmpqv bcfgjkmp " + words(rng, 14, rng.sample("etaoilnsrhdu", 4)) for _ in range(50)]
+    got = dicts(line_dedup(frame(spark, [*texts, texts[7][:-1] + "."]), runs=True))
+    assert [g["doc_id"] for g in got if g["n_dropped"]] == [50]
+    assert sum(pairs.count() for pairs in compared) < 300
+
+
+def test_close_denies_no_lines_within_the_similarity(spark):
+    rng, rows = random.Random(18), []
+    for k in range(600):
+        one = list(words(rng, rng.randint(1, 45), "eaotinsrlhduö, x"[: rng.randint(2, 16)].replace(" ", "")))
+        two = list(one)
+        for _ in range(rng.randint(0, max(1, int(len(one) * 0.22)))):
+            at = rng.randrange(len(two))
+            two[at:at + rng.randint(0, 1)] = rng.choice(["", "e", "z", " ", "ö"])
+            two = two or ["e"]
+        rows.append((k, " ".join("".join(one).split()) or "e", " ".join("".join(two).split()) or "e"))
+    df = spark.createDataFrame(rows, "k long, one string, two string")
+    for name in ("one", "two"):
+        df = df.withColumn(name, F.struct(F.size(F.split(name, " ")).alias("n"), F.length(name).alias("m"), *[c.alias(x) for x, c in sketch(F.col(name)).items()]))
+    in_words, in_chars = close(lambda c: F.col(f"one.{c}"), lambda c: F.col(f"two.{c}"), 0.8)
+    got = {r.k: (r.w, r.c) for r in df.select("k", in_words.alias("w"), in_chars.alias("c")).collect()}
+    held = [0, 0]
+    for k, one, two in rows:
+        for kind, (x, y) in enumerate(((one.split(" "), two.split(" ")), (list(one), list(two)))):
+            if _edit(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
+                held[kind] += 1
+                assert got[k][kind], (one, two)
+    assert min(held) > 50
+
+
 # ---------------------------------------------------------------- suffix
 def brute_spans(texts: list[bytes], n: int):
     seen = Counter(t[i:i + n] for t in texts for i in range(len(t) - n + 1))
